@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import norm_key
 from ..queries.problems import _WS
 from ..sources.tables import table
-from . import leakage, nearest, splits, stable_sample, target_sample
+from . import leakage, mixing, nearest, residue, splits, stable_sample, target_sample
 
 TOLERANCE_US = 100_000
 LINKS = ["scenario_id", "log_name", "source_recording"]
@@ -61,6 +61,30 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"), doc_id="doc_id", item_id="item_id")
 
 
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_target"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).plan().where("short").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+def p9_records(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).records()
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_records(spark, d).select("doc_id")
+
+
+def p10_records(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", "doc_id", "text"))
+
+
 _CAT = "nullif(translate(lower(trim({c}, " + _WS + ")), ' -', '__'), '')"
 _CITY, _TYPE = _CAT.format(c="source_city"), _CAT.format(c="scenario_type")
 SQL = {
@@ -87,6 +111,12 @@ n AS (SELECT count(DISTINCT id) // 5 AS s FROM k),
 w AS (SELECT {_CITY} AS c, {_TYPE} AS t, max(target_permille) AS p, max(min_rows) AS m FROM sample_target GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY c, t ORDER BY sha256('target-sample:' || id)[:16], id) AS rank FROM k)
 SELECT c AS source_city, t AS scenario_type, id AS scenario_id, rank FROM r JOIN w USING (c, t), n WHERE rank <= greatest(m, (n.s * p + 500) // 1000)""",
+    # Words instead of tokens: the sources found are the same for any usual way of counting.
+    "p9_found": f"""
+WITH t AS (SELECT {_CAT.format(c="source")} AS s, coalesce(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')), 0) AS n FROM documents),
+g AS (SELECT s, sum(n) AS n FROM t GROUP BY s), a AS (SELECT sum(n) AS n FROM t),
+w AS (SELECT {_CAT.format(c="source")} AS s, max(target_permille) AS p, max(max_repeats) AS r FROM mix_target GROUP BY ALL)
+SELECT s AS source FROM w LEFT JOIN g USING (s), a WHERE r * coalesce(g.n, 0) * 1000 < p * a.n""",
     "p6_selected": f"""
 WITH s AS (SELECT lower(trim(scenario_id, {_WS})) AS id, {_CITY} AS c, {_TYPE} AS t, ingested_at, row_id FROM scenario_sample WHERE scenario_id IS NOT NULL),
 f AS (SELECT id, c, t, row_number() OVER (PARTITION BY id ORDER BY ingested_at NULLS LAST, row_id) AS n FROM s),
@@ -94,4 +124,4 @@ h AS (SELECT id, c, t, sha256('{SALT}:' || id)[:16] AS key_hash FROM f WHERE n =
 k AS (SELECT * FROM h WHERE ('0x' || key_hash[:8])::BIGINT < {round(RATE * 2**32)})
 SELECT id AS scenario_id, c AS source_city, t AS scenario_type, key_hash, row_number() OVER (PARTITION BY c, t ORDER BY key_hash, id) AS ranked FROM k""",
 }
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found, "p5_sample": p5_sample, "p6_selected": p6_selected, "p8_found": p8_found, "p8_passages": p8_passages}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found, "p5_sample": p5_sample, "p6_selected": p6_selected, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_shares": p9_shares, "p9_records": p9_records, "p10_found": p10_found, "p10_records": p10_records}

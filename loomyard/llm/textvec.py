@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,8 +83,48 @@ def words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(mask)
     first = np.flatnonzero(edge[at])
     place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-    value = (data[at].astype(np.uint64) + np.uint64(1)) * _POW[place & 63] + (place >> 6).astype(np.uint64)
-    return mix(np.add.reduceat(value, first)), np.searchsorted(start, offsets)
+    return _hash_runs(data[at], place, first), np.searchsorted(start, offsets)
+
+
+def _hash_runs(values: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash per run of values; place: position of a value in its run."""
+    power = _POW[place & 63] ^ ((place >> 6).astype(np.uint64) * np.uint64(0xD1342543DE82EF96))
+    return mix(np.add.reduceat((values.astype(np.uint64) + np.uint64(1)) * power, first))
+
+
+#: Classes of characters.
+OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
+    table = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    table[[9, 10, 11, 12, 13, 0x85]] = SPACE
+    return table
+
+
+def codepoints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all texts, their classes, offsets of the texts). A null text counts as an empty one."""
+    texts = [t or "" for t in texts]
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    return cp, _classes()[cp], offsets
+
+
+def run_starts(cls: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Is a character the first of a longest run of one class within its text?"""
+    new = np.empty(len(cls), bool)
+    if len(cls):
+        new[0], new[1:] = True, cls[1:] != cls[:-1]
+        new[offsets[:-1][offsets[:-1] < len(cls)]] = True
+    return new
+
+
+def hash_spans(cp: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One hash per span; spans begin at `start` (the first at 0) and fill the whole array."""
+    place = np.arange(len(cp)) - np.repeat(start, np.diff(np.append(start, len(cp))))
+    return _hash_runs(cp, place, start)
 
 
 def shingles(h: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
