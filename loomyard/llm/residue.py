@@ -223,24 +223,29 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
     records speaks for residue only if a wording of the list has it: short records carry headings of sound ones.
     """
     seeds = [*TRUSTED_TEXTS, *TRUSTED_SLOTS]
-    every = [*seeds, *texts]
-    p = passages(every)
-    f, which = features(p)
-    given = p.doc < len(seeds)
-    short = (p.words[p.doc] > 0) & (p.words[p.doc] < short_words) & ~given & ~p.slot
-    is_slot_seed = (p.doc >= len(TRUSTED_TEXTS)) & given
-    positive = (given & (p.slot == is_slot_seed)) | short | (p.trusted & ~given)
-    take = (~given | positive) & ~p.quoted
-    weight = positive.astype(np.float64)
     n = 1 << BITS
-    long_doc = (p.words >= short_words) & (np.arange(len(every)) >= len(seeds))
-    of_long = long_doc[p.doc[which]]
-    pairs = np.unique(p.doc[which[of_long]] * n + f[of_long])
-    is_common = np.bincount(pairs % n, minlength=n) > max(1.0, common * long_doc.sum())
-    usable = take[which]
-    f, which = f[usable], which[usable]
+    parts, df, n_long, n_passages = [], np.zeros(n, np.int64), 0, 0
+    for i, chunk in enumerate([seeds, *_chunks(texts)]):  # a slice at a time: only the features are kept
+        p = passages(chunk)
+        f, which = features(p)
+        given = np.full(len(p.begin), i == 0)
+        short = (p.words[p.doc] > 0) & (p.words[p.doc] < short_words) & ~given & ~p.slot
+        is_slot_seed = (p.doc >= len(TRUSTED_TEXTS)) & given
+        positive = (given & (p.slot == is_slot_seed)) | short | (p.trusted & ~given)
+        take = (~given | positive) & ~p.quoted
+        if i:
+            of_long = (p.words >= short_words)[p.doc[which]]
+            df += np.bincount(np.unique(p.doc[which[of_long]] * n + f[of_long]) % n, minlength=n)
+            n_long += int((p.words >= short_words).sum())
+        usable = take[which]
+        parts.append((f[usable].astype(np.int32), (which[usable] + n_passages).astype(np.int32), p.slot, given, positive, take))
+        n_passages += len(p.begin)
+    f, which, slot, given, positive, take = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    is_common = df > max(1.0, common * n_long)
+    weight = positive.astype(np.float64)
     everything = np.bincount(f, minlength=n) + 0.0
-    slot_f = p.slot[which]
+    slot_f = slot[which]
     totals = [everything[np.unique(f[slot_f == k])].sum() if (slot_f == k).any() else 1.0 for k in (False, True)]
     kind_of = np.zeros(n, bool)
     kind_of[f[slot_f]] = True
@@ -258,15 +263,27 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
         odds = np.log(p1) - np.log(p0)
         prior = []
         for k in (False, True):
-            of = take & (p.slot == k) & ~given
+            of = take & (slot == k) & ~given
             share = np.clip((weight[of].sum() + 0.5) / (of.sum() + 1.0), 1e-4, most)
             prior.append(float(np.log(share / (1 - share))))
         model = Model(odds.astype(np.float32), (prior[0], prior[1]))
-        score = np.bincount(which, weights=model.odds[f], minlength=len(p.begin)) + np.where(p.slot, prior[1], prior[0])
+        score = np.bincount(which, weights=model.odds[f], minlength=n_passages) + np.where(slot, prior[1], prior[0])
         weight = np.where(positive, 1.0, 1 / (1 + np.exp(-np.clip(score, -50, 50))))
     return model
 
 
+def _chunks(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str | None]]:
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def records(texts: list[str | None], model: Model, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text: best passage score (-inf without passages), passages that are residue, passages."""
     p = passages(texts)
@@ -279,12 +296,12 @@ def records(texts: list[str | None], model: Model, threshold: float = 0.0) -> tu
     return best, np.bincount(p.doc[score > threshold], minlength=n), np.bincount(p.doc, minlength=n)
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 4_000, salt: int = 29) -> Model:
-    """The model from at most about sample_docs records, chosen by the hash of their id (same records on every run)."""
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 2_000, longest: int = 200_000, salt: int = 29) -> Model:
+    """The model from about sample_docs records of at most `longest` characters, chosen by the hash of their id (the same on every run)."""
     n = docs.count()
     rate = min(1.0, sample_docs / max(n, 1))
     near = F.pmod(F.xxhash64(F.col(doc_id), F.lit(salt)), F.lit(1_000_000)) < int(rate * 1_000_000)
-    rows = docs.where(near & F.col(text).isNotNull()).select(doc_id, text).orderBy(doc_id).collect()
+    rows = docs.where(near & F.col(text).isNotNull() & (F.length(text) <= longest)).select(doc_id, text).orderBy(doc_id).collect()
     return learn([r[1] for r in rows])
 
 
