@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems",)
+MODULES = ("problems", "pairing", "anchors")
 
 
 def _merged(what: str) -> dict:
