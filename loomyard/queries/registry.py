@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "pairing", "anchors")
+MODULES = ("problems", "pairing", "anchors", "temporal", "quality")
 
 
 def _merged(what: str) -> dict:
