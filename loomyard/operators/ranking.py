@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def ranked_by_hash(df: DataFrame, group: list[str], key_hex: str, ties: list[str], *, digits: int = 3, name: str = "rank") -> DataFrame:
     """Adds `name`: the position from 1 of each row in its group by (key_hex, *ties), all ascending.
@@ -24,3 +26,18 @@ def ranked_by_hash(df: DataFrame, group: list[str], key_hex: str, ties: list[str
     inner = Window.partitionBy(*[b[c] for c in (*group, "__bucket")]).orderBy(b[key_hex], *[b[c] for c in ties])
     out = b.join(counts, on, "left").select(*[b[c] for c in df.columns], (counts["__before"] + F.row_number().over(inner)).alias(name))
     return out
+
+
+def positions(df: DataFrame, group: list[str], order: list[Column], *, name: str = "pos") -> DataFrame:
+    """Adds the position from 1 within the group by any total order.
+
+    The rows are range-partitioned by (group, order) and that layout is fixed by a reliable checkpoint; counts per
+    partition give the offsets, so a group of any size is numbered by many tasks.
+    """
+    sorted_rows = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__part", F.spark_partition_id())
+    fixed = cut(sorted_rows)
+    counts = fixed.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    local = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    return fixed.withColumn("__local", local).join(counts, [*group, "__part"]).withColumn(name, F.col("__local") + F.col("__before")).select(*df.columns, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "pairing", "anchors", "temporal", "quality")
+MODULES = ("problems", "pairing", "anchors", "temporal", "quality", "metrics")
 
 
 def _merged(what: str) -> dict:
