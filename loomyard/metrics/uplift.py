@@ -25,10 +25,10 @@ def average_ranks(df: DataFrame, group: list[str], value: str, name: str, tie: s
 
 
 def spearman(df: DataFrame, group: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks; null for constant input or fewer than two rows."""
+    """Pearson correlation of average ranks; null for constant input or a single row."""
     r = average_ranks(average_ranks(df, group, "y_true", "rt"), group, "y_pred", "rp")
-    c = F.corr("rt", "rp")
-    return r.groupBy(*group).agg(F.when((F.min("rt") < F.max("rt")) & (F.min("rp") < F.max("rp")), c).alias("spearman"))
+    c = F.try_divide(F.covar_pop("rt", "rp"), F.stddev_pop("rt") * F.stddev_pop("rp"))
+    return r.groupBy(*group).agg(c.alias("spearman"))
 
 
 def _ordered(df: DataFrame, group: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def qini(df: DataFrame, group: list[str]) -> DataFrame:
     area = lambda p: F.sum(F.col("y_true") * (F.col("n") - F.col(p) + 0.5)) - half
     best = area("by_true")
     flat = (F.min("y_true") == F.max("y_true")) | (F.min("y_pred") == F.max("y_pred"))
-    return o.groupBy(*group).agg(F.when(~flat & (best > 0), area("by_pred") / best).alias("qini"))
+    return o.groupBy(*group).agg(F.when(~flat & (best > 0), F.try_divide(area("by_pred"), best)).alias("qini"))
 
 
 def gain_curve(df: DataFrame, group: list[str]) -> DataFrame:

@@ -122,6 +122,7 @@ def _quoted(data: np.ndarray, offsets: np.ndarray, row_of: np.ndarray) -> tuple[
             break
         kind = data[start]
         end = np.full(len(start), -1, np.int64)
+        back = end.copy()  # if nothing closes it, the first of its last doubled quotes does
         seek, todo = start + 1, np.arange(len(start))
         while len(todo):  # the next quote of the kind; a doubled one is stepped over
             place = np.full(len(todo), big, np.int64)
@@ -130,11 +131,13 @@ def _quoted(data: np.ndarray, offsets: np.ndarray, row_of: np.ndarray) -> tuple[
                 i = np.searchsorted(marks[q], seek[of])
                 place[of] = np.where(i < len(marks[q]), marks[q][np.minimum(i, max(len(marks[q]) - 1, 0))] if len(marks[q]) else big, big)
             ok = place < stop[todo]
+            end[todo[~ok]] = back[todo[~ok]]
             todo, place = todo[ok], place[ok]
             follow = place + 1 < stop[todo]
             double = np.zeros(len(todo), bool)
             double[follow] = data[place[follow] + 1] == kind[todo[follow]]
             end[todo[~double]] = place[~double]
+            back[todo[double]] = place[double]
             todo, seek = todo[double], place[double] + 2
         done = end >= 0
         opened.append(start[done])
