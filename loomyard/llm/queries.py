@@ -66,7 +66,7 @@ def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d).plan().where("short").select("source")
+    return p9_shares(spark, d).where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,8 @@ seen in it counts against it, by a bounded amount. That keeps sentences in which
 out: most of what surrounds the words speaks for the court.
 
 Trusted records: the list TRUSTED (general wordings of error pages, script notices, fillers and placeholder forms), and of
-the sample those records that are too short to be a decision, and slots of an unmistakable template syntax.
+the sample those records that are too short to be a decision, and slots of an unmistakable template syntax or with a null
+literal outside quotation marks.
 The model is fitted on a bounded sample (sample_docs, by hash of the id); every record is scored, on its whole text.
 An exact check follows: a null literal that stands in quotation marks is quoted, not left over.
 """
@@ -54,6 +55,8 @@ TRUSTED_SLOTS = (
     "<name/>", "#REF!", "[object Object]", "[enter name]", "[insert name]", "[name - ENTER]", "[to be completed name]", "[einsetzen Name]", "[Name - EINSETZEN]",
     "[à compléter]", "[insérer nom]", "(name: insert)", "(name: enter)", "(Name: bitte eintragen)", "[bitte eintragen Name]", "(nom: à compléter)", "[insert name]", "[●]", "____ (enter) ____", "XX.XX.20XX", "date: undefined", "name: NaN", "no. null",
 )
+#: A form of the list of slots counts as so many records.
+SLOT_WEIGHT = 5
 #: A slot of the sample is trusted if it begins with one of these signs; they have no use in prose.
 TEMPLATE_SIGNS = ("{{", "${", "<%", "%(", "%%", "&&", "@@", "#{", "<<", "[[")
 #: Signs that prose uses and that make no slot.
@@ -145,7 +148,7 @@ def passages(texts: list[str | None]) -> Passages:
     l_end = np.minimum(l_end, s_end[sentence])
     q = np.isin(sign, [ord(c) for c in QUOTES])
     near = np.append(False, q[:-1])[at] & np.append(q[1:], False)[at]
-    trusted = _trusted_signs(sign, start[keep], ends[keep], at, odd)
+    trusted = _trusted_signs(sign, start[keep], ends[keep], at, odd) | (literal[at] & ~near)
     words = np.bincount(doc, weights=kind == LETTER, minlength=len(texts)).astype(np.int64)
     zero = np.zeros(len(s_begin), bool)
     b, e = np.concatenate([s_begin, l_begin]), np.concatenate([s_end, l_end])
@@ -222,7 +225,7 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
     greatest prior share of residue among the passages. A feature that stands in more than the share `common` of the long
     records speaks for residue only if a wording of the list has it: short records carry headings of sound ones.
     """
-    seeds = [*TRUSTED_TEXTS, *TRUSTED_SLOTS]
+    seeds = [*TRUSTED_TEXTS, *TRUSTED_SLOTS * SLOT_WEIGHT]
     n = 1 << BITS
     parts, df, n_long, n_passages = [], np.zeros(n, np.int64), 0, 0
     for i, chunk in enumerate([seeds, *_chunks(texts)]):  # a slice at a time: only the features are kept

@@ -94,12 +94,16 @@ def target_sample(rows: DataFrame, targets: DataFrame, *, salt: str = "target-sa
     by = {(x.source_city, x.scenario_type): x["count"] for x in counts.where("source_city is null or scenario_type is not null").join(F.broadcast(t.select("source_city", "scenario_type").withColumn("wanted", F.lit(1))), ["source_city", "scenario_type"], "left").where("wanted = 1 or source_city is null").collect()}
     total = by.get((None, None), 0)
     spark = rows.sparkSession
-    plan = [(x.source_city, x.scenario_type, x.target_permille, x.min_rows, have := by.get((x.source_city, x.scenario_type), 0), q := quota_of(total, x.target_permille, x.min_rows), min(have, q), max(0, q - have), have < q) for x in wanted]
-    report = spark.createDataFrame(plan, "source_city string, scenario_type string, target_permille long, min_rows long, available long, quota long, drawn long, shortfall long, exhausted boolean")
+    plan = [(x.source_city, x.scenario_type, x.target_permille, x.min_rows, by.get((x.source_city, x.scenario_type), 0), quota_of(total, x.target_permille, x.min_rows)) for x in wanted]
+    quotas = spark.createDataFrame(plan, "source_city string, scenario_type string, target_permille long, min_rows long, available long, quota long")
     pool = r.withColumn("key_hash", hash_hex(salt, F.col("scenario_id"))).mapInArrow(_reservoirs(caps), "source_city string, scenario_type string, scenario_id string, key_hash string").distinct()
+    # The merged reservoirs hold at least the cap, or all there is: one that holds less than its quota is exhausted.
+    held = pool.groupBy("source_city", "scenario_type").agg(F.count("*").alias("held"))
+    report = quotas.join(held, ["source_city", "scenario_type"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    report = report.select("source_city", "scenario_type", "target_permille", "min_rows", "available", "quota", F.least("held", "quota").alias("drawn"), F.greatest(F.lit(0), F.col("quota") - F.col("held")).alias("shortfall"), (F.col("held") < F.col("quota")).alias("exhausted"))
     ranked = ranked_by_hash(pool, ["source_city", "scenario_type"], "key_hash", ["scenario_id"])
-    quotas = F.broadcast(report.select("source_city", "scenario_type", "quota"))  # at most 100,000 rows
-    sample = ranked.join(quotas, ["source_city", "scenario_type"]).where("rank <= quota").drop("quota", "key_hash")
+    few = F.broadcast(quotas.select("source_city", "scenario_type", "quota"))  # at most 100,000 rows
+    sample = ranked.join(few, ["source_city", "scenario_type"]).where("rank <= quota").drop("quota", "key_hash")
     return sample, report
 
 
