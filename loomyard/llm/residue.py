@@ -245,7 +245,7 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
         n_passages += len(p.begin)
     f, which, slot, given, positive, take = (np.concatenate(x) for x in zip(*parts))
     del parts
-    is_common = df > max(1.0, common * n_long)
+    is_common = df > max(5.0, common * n_long)
     weight = positive.astype(np.float64)
     everything = np.bincount(f, minlength=n) + 0.0
     slot_f = slot[which]
