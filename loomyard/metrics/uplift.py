@@ -71,18 +71,27 @@ def gain_curve(df: DataFrame, group: list[str]) -> DataFrame:
     return o.select(*group, "step", F.sum("y_true").over(Window.partitionBy(*group).orderBy("step")).alias("gain"))
 
 
+def _draw_weights(df: DataFrame, unit: str, draws: int, salt: str) -> DataFrame:
+    """Every row once per draw with a Poisson(1) weight `w` (up to 8) from the hash of draw and unit."""
+    key = F.concat_ws(":", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string"))
+    rep = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rep = rep.withColumn("__u", F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / 4294967296.0)
+    edges, total, p = [], 0.0, float(np.exp(-1.0))
+    for k in range(8):
+        total += p
+        edges.append(total)
+        p /= k + 1
+    # The number of edges at or below u: one pass over a literal array, u is computed once.
+    weight = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("__u")))
+    return rep.withColumn("w", weight).drop("__u")
+
+
 def hash_bootstrap(df: DataFrame, group: list[str], value: str, unit: str, *, draws: int, salt: str) -> DataFrame:
     """Bootstrap of the mean with hash-made Poisson(1) weights: any engine gives the same draws.
 
-    Every (draw, unit) has a weight from the hash of both; sums combine before the shuffle. 2.5 and 97.5 percentiles.
+    Sums combine before the shuffle. 2.5 and 97.5 percentiles of the draws' weighted means.
     """
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight, total, p = F.lit(0), 0.0, float(np.exp(-1.0))
-    for k in range(8):
-        total += p
-        weight = F.when(u >= total, k + 1).otherwise(weight)
-        p /= k + 1
-    rep = df.select(*group, value, unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
+    rep = _draw_weights(df.select(*group, value, unit), unit, draws, salt)
     means = rep.groupBy(*group, "draw").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.groupBy(*group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
@@ -90,14 +99,7 @@ def hash_bootstrap(df: DataFrame, group: list[str], value: str, unit: str, *, dr
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *, draws: int, salt: str) -> DataFrame:
     """The same over clusters: sums per cluster first, then a ratio of weighted sums per draw."""
     sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), F.col("draw").cast("string"), F.col(cluster).cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight, total, p = F.lit(0), 0.0, float(np.exp(-1.0))
-    for k in range(8):
-        total += p
-        weight = F.when(u >= total, k + 1).otherwise(weight)
-        p /= k + 1
-    rep = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    m = rep.groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.nullif(F.sum(F.col("c") * F.col("w")), F.lit(0))).alias("m"))
+    m = _draw_weights(sums, cluster, draws, salt).groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.nullif(F.sum(F.col("c") * F.col("w")), F.lit(0))).alias("m"))
     return m.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
