@@ -1,18 +1,19 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Method: size-partitioned MinHash containment search, verified by exact shingle containment.
+Method: exact shingle containment. Every shingle of a document is looked up among those of the items, and the item words
+that a document's shingles cover are counted by stretches (no more than MAX_DAMAGE uncovered words in a row). What a chain
+can match is bounded by what its stretch covers, so (document, item) pairs whose stretches cover too little are left out
+without loss; all others are verified: matching runs are chained in the order of both texts, and a chain counts if it spans
+at least min_words words of the item, at least min_cover of them in matching shingles (or 0.45 of them, if the matching ones
+alone are min_words) and at least RARE_SHARE of its shingles are no stock phrase. A gap in the item (a damaged word or two) is bounded, one in the document (matter standing inside the passage) is wider.
 
-A test item is short and a document long, so whole-document sketches say nothing: the share of an item's shingles in a
-document of ten times its size drowns. Documents are therefore cut into segments of SEGMENT shingle starts, segments
-are partitioned by size, and each gets a bottom-m MinHash sketch with m fixed per partition (all of a small segment).
-The share of a sketch's minima that an item holds estimates the segment's containment in the item. Two neighbouring
-segments with enough minima in common with one item make (document, item) a candidate; candidates are verified on all
-shingles: matching runs are chained in the order of both texts, and a chain counts if it spans at least min_words words
-of the item, at least min_cover of them in matching shingles (or 0.45 of them, if the matching ones alone are min_words). A gap in the item (a damaged word or two) is bounded, one in the
-document (matter standing inside the passage) is wider.
+Stock phrases are shingles of more than MAX_STOCK different items. Items of the same words are one item here, and a run of
+min_words words that several items share is a passage they share, no stock: its shingles count as rare. So a leak is found
+however many items hold it; words that more than MAX_STOCK items share only in runs under min_words count as stock.
 
 Scale: the items are a stated query set, taken in blocks of at most block_words words (checked on their count); one block's
-shingles are broadcast and every document is read once per block. No shuffle, no pairs of documents, nothing capped.
+shingles are broadcast and every document is read once per block. Stock is counted over the items of all blocks. No shuffle
+and no pairs of documents; the shingles of documents are matched in parts of PART postings, or of one document.
 """
 
 from __future__ import annotations
@@ -27,34 +28,50 @@ from pyspark.sql import functions as F
 from .textvec import shingles, slices, words
 
 K = 5
-SEGMENT = 32
-#: Size partitions of the segments: up to so many shingles, so many minima.
-PARTITIONS = ((8, 8), (16, 12), (32, 16))
-#: Minima in common with an item, in two neighbouring segments, that make a candidate.
-MIN_HITS = 4
-MIN_SHARE = 0.15
-#: A shingle that stands at more places of the items than this is a stock phrase: it proposes nothing, but still verifies.
+#: A shingle of more different items than this is a stock phrase, unless it stands in a passage that they share.
 MAX_STOCK = 2
+#: Least share of shingles that are no stock in a chain.
+RARE_SHARE = 0.4
+#: Postings matched at a time.
+PART = 4_000_000
 #: Words that may be damaged in a row, words that may stand inside the passage, words lost at an insertion.
 MAX_DAMAGE = 12
 MAX_INSERTED = 120
 MAX_LOST = 4
-_HASHES = [(np.uint64(a), np.uint64(pow(a, -1, 2**64))) for a in (0x9E3779B97F4A7C15 * (2 * j + 3) % 2**64 | 1 for j in range(max(m for _, m in PARTITIONS)))]
 
 
 class ItemIndex:
-    """Shingles of a block of items with their postings (item, place)."""
+    """Shingles of a block of items with their postings (item, place); items of the same words are one, with several members.
 
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
+    stock and repeated: shingles of too many items, and runs of min_words words of several items, where the block isn't all.
+    """
+
+    def __init__(self, ids: list, texts: list[str | None], min_words: int = 40, stock: np.ndarray | None = None, repeated: np.ndarray | None = None) -> None:
         h, off = words(pa.array(texts, pa.large_string()))
+        same: dict[bytes, list[int]] = {}
+        for i in range(len(ids)):
+            same.setdefault(h[off[i] : off[i + 1]].tobytes(), []).append(i)
+        self.ids, self.members = ids, list(same.values())
+        h, off = words(pa.array([texts[m[0]] for m in self.members], pa.large_string()))
         s, so = shingles(h, off, K)
-        item = np.repeat(np.arange(len(ids)), np.diff(so))
+        w, wo = shingles(h, off, max(min_words, K))
+        item = np.repeat(np.arange(len(self.members)), np.diff(so))
         order = np.argsort(s, kind="stable")
-        self.ids, self.length = ids, np.diff(off)
+        self.length, self.start, self.owner = np.diff(off), so[:-1], item
         self.hash, self.item = s[order], item[order]
         self.place = (np.arange(len(s)) - np.repeat(so[:-1], np.diff(so)))[order]
         self.known, self.first = np.unique(self.hash, return_index=True)
         self.count = np.diff(np.append(self.first, len(self.hash)))
+        stock = _held(s, item, MAX_STOCK + 1) if stock is None else stock
+        in_window = np.repeat(np.arange(len(self.members)), np.diff(wo))
+        shared = np.flatnonzero(np.isin(w, _held(w, in_window, 2) if repeated is None else repeated))
+        # Shingles of a shared run: from its first word to the last shingle inside it.
+        begin = so[:-1][in_window[shared]] + shared - wo[:-1][in_window[shared]]
+        cover = np.zeros(len(s) + 1, np.int64)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + max(min_words, K) - K + 1, -1)
+        #: By place over all items: is the shingle no stock?
+        self.rare = ~np.isin(s, stock) | (np.cumsum(cover)[:-1] > 0)
         bits = max(20, int(np.ceil(np.log2(max(len(self.known), 1) * 16))))
         self.shift = np.uint64(64 - bits)
         self.filter = np.zeros(1 << bits, bool)
@@ -77,74 +94,79 @@ class ItemIndex:
         return np.repeat(at, n), self.item[p], self.place[p]
 
 
-def _segments(s: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of all rows: (start in s, size, row). A row's segments have equal sizes up to SEGMENT; the last may be smaller."""
-    size = np.diff(so)
-    n = -(-size // SEGMENT)
-    row = np.repeat(np.arange(len(size)), n)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    start = so[:-1][row] + nth * SEGMENT
-    return start, np.minimum(SEGMENT, so[1:][row] - start), row
-
-
-def candidates(s: np.ndarray, so: np.ndarray, index: ItemIndex) -> np.ndarray:
-    """(row, item) pairs, as rows of an array, that the sketches propose."""
-    start, size, row = _segments(s, so)
-    n_items = np.int64(len(index.ids))
-    if not len(start):
-        return np.zeros((0, 2), np.int64)
-    minima = np.select([size <= high for high, _ in PARTITIONS], [m for _, m in PARTITIONS])
-    keys = []
-    for j, (a, inverse) in enumerate(_HASHES):
-        # An odd multiplier permutes the 64-bit numbers, so the least value gives its shingle back.
-        least = np.minimum.reduceat(s * a, start) * inverse
-        use = np.flatnonzero(minima > j)
-        hit, i = index.lookup(least[use])
-        rare = index.count[i] <= MAX_STOCK
-        which, item, _ = index.postings(hit[rare], i[rare])
-        keys.append(np.unique(use[which] * n_items + item))
-    pair, n = np.unique(np.concatenate(keys), return_counts=True)
-    if not len(pair):
-        return np.zeros((0, 2), np.int64)
-    nxt = np.minimum(np.searchsorted(pair, pair + n_items), len(pair) - 1)
-    same = (pair[nxt] == pair + n_items) & (row[pair[nxt] // n_items] == row[pair // n_items])
-    scale = minima[pair // n_items] + np.where(same, minima[pair[nxt] // n_items], 0)
-    both = n + np.where(same, n[nxt], 0)
-    ok = (both >= MIN_HITS) & (both >= MIN_SHARE * scale)
-    return np.unique(np.stack([row[pair[ok] // n_items], pair[ok] % n_items], 1), axis=0)
-
-
-def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float) -> tuple[int, int] | None:
+def _held(s: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
+    """Hashes that at least so many items hold."""
+    order = np.lexsort((item, s))
+    s, item = s[order], item[order]
+    once = np.ones(len(s), bool)
+    once[1:] = (s[1:] != s[:-1]) | (item[1:] != item[:-1])
+    known, n = np.unique(s[once], return_counts=True)
+    return known[n >= least]
+
+
+def candidates(s: np.ndarray, so: np.ndarray, index: ItemIndex, min_words: int = 40, min_cover: float = 0.65) -> np.ndarray:
+    """(row, item) pairs, as rows of an array, of which some stretch covers as many words, and as many of them rare, as a chain that counts must match."""
+    at, i = index.lookup(s)
+    row_of = np.searchsorted(so, at, side="right") - 1
+    # Whole rows, PART postings at a time.
+    upto = np.append(0, np.cumsum(index.count[i]))
+    edge = np.searchsorted(row_of, np.arange(len(so)))
+    out, lo, n_items, total = [np.zeros((0, 2), np.int64)], 0, len(index.members), np.int64(len(index.rare))
+    while lo < len(so) - 1:
+        hi = max(lo + 1, int(np.searchsorted(upto[edge], upto[edge[lo]] + PART, side="right")) - 1)
+        p, item, q = index.postings(at[edge[lo] : edge[hi]], i[edge[lo] : edge[hi]])
+        key = np.sort((np.searchsorted(so, p, side="right") - 1) * total + index.start[item] + q)
+        lo = hi
+        if not len(key):
+            continue
+        key = key[np.append(True, key[1:] != key[:-1])]
+        row, place = key // total, key % total
+        pair = row * n_items + index.owner[place]
+        step = np.append(K + MAX_DAMAGE + 1, np.diff(place))
+        new = (step > K + MAX_DAMAGE) | np.append(True, pair[1:] != pair[:-1])
+        begin = np.flatnonzero(new)
+        covered = np.add.reduceat(np.where(new, K, np.minimum(step, K)), begin)
+        rare = np.add.reduceat(index.rare[place].astype(np.int64), begin)
+        need = np.minimum(min_words, index.length[index.owner[place[begin]]])
+        ok = (covered >= min_cover * need) & (rare >= RARE_SHARE * min_cover * need / K)
+        found = np.unique(pair[begin[ok]])
+        out.append(np.stack([found // n_items, found % n_items], 1))
+    return np.concatenate(out)
+
+
+def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None = None) -> tuple[int, int] | None:
     """(words spanned in the item, words in matching shingles) of the best chain that counts, or None.
 
     A run may be followed by one after damage (both texts go on by about as many words) or after an insertion (the item
     goes on at once, the document later).
 
-    p and q are the places of matching shingles in the document and the item.
+    p and q are the places of matching shingles in the document and the item; rare: which of them are no stock (all, if not given).
     """
     order = np.lexsort((p, p - q))
     p, q = p[order], q[order]
+    rare = np.ones(len(p), bool) if rare is None else rare[order]
     new = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(q) != 1)))
     size = np.diff(np.append(new, len(p)))
     best, done, oldest, reach = None, [], 0, 0
-    for a, b, n in sorted(zip(p[new].tolist(), q[new].tolist(), size.tolist())):
-        # The chain that ends in this run: its first word in the item and the words matched.
+    known = np.add.reduceat(rare.astype(np.int64), new) if len(p) else size
+    for a, b, n, r in sorted(zip(p[new].tolist(), q[new].tolist(), size.tolist(), known.tolist())):
+        # The chain that ends in this run: its first word in the item, the words matched, its shingles and those that are no stock.
         own = n + K - 1
-        end_a, end_b, first, got = a + own, b + own, b, own
+        end_a, end_b, first, got, every, sure = a + own, b + own, b, own, n, r
         while oldest < len(done) and done[oldest][4] < a - MAX_INSERTED:
             oldest += 1
-        for ea, eb, f, m, _ in done[oldest:]:
+        for ea, eb, f, m, _, e, k in done[oldest:]:
             gap_a, gap_b = a - ea, b - eb
             damaged = -K < gap_b <= MAX_DAMAGE and abs(gap_a - gap_b) <= 2
             inserted = -K < gap_b <= MAX_LOST and gap_b < gap_a <= MAX_INSERTED
             if end_b > eb and (damaged or inserted):
                 c = m + min(own, end_b - eb)
                 if c > got:
-                    first, got = f, c
+                    first, got, every, sure = f, c, e + n, k + r
         reach = max(reach, end_a)
-        done.append((end_a, end_b, first, got, reach))
+        done.append((end_a, end_b, first, got, reach, every, sure))
         span = end_b - first
-        if span >= min_words and (got >= min_cover * span or got >= max(min_words, 0.45 * span)) and (best is None or got > best[1]):
+        if sure >= RARE_SHARE * every and span >= min_words and (got >= min_cover * span or got >= max(min_words, 0.45 * span)) and (best is None or got > best[1]):
             best = (span, got)
     return best
 
@@ -153,17 +175,39 @@ def search(arr: pa.Array, index: ItemIndex, min_words: int = 40, min_cover: floa
     """(row, item, words spanned, words matched) of the texts that carry a passage."""
     for lo, hi in slices(arr):
         s, so = shingles(*words(arr.slice(lo, hi - lo)), K)
-        found = candidates(s, so, index)
+        found = candidates(s, so, index, min_words, min_cover)
         if not len(found):
             continue
         for row in np.unique(found[:, 0]):
             own = s[so[row] : so[row + 1]]
             p, item, q = index.postings(*index.lookup(own))
+            order = np.argsort(item, kind="stable")
+            p, item, q = p[order], item[order], q[order]
             for i in found[found[:, 0] == row, 1]:
-                of = item == i
+                of = slice(*np.searchsorted(item, [i, i + 1]))
                 need = min(min_words, int(index.length[i]))
-                if hit := best_chain(p[of], q[of], need, min_cover):
-                    yield lo + int(row), int(i), *hit
+                if hit := best_chain(p[of], q[of], need, min_cover, index.rare[index.start[i] + q[of]]):
+                    for m in index.members[i]:
+                        yield lo + int(row), m, *hit
+
+
+def _hashes(texts: DataFrame, k: int) -> DataFrame:
+    """(h) of the different runs of k words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                s, so = shingles(*words(batch.column(0).slice(lo, hi - lo)), k)
+                for i in range(hi - lo):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(s[so[i] : so[i + 1]]).view(np.int64))], names=["h"])
+
+    return texts.mapInArrow(run, "h long")
+
+
+def _shared(block: DataFrame, every: DataFrame, k: int, least: int) -> np.ndarray:
+    """Hashes of runs of k words of the block that at least so many of all different items hold; at most the block's words."""
+    many = _hashes(every, k).groupBy("h").count().where(F.col("count") >= least)
+    return np.array([r.h for r in _hashes(block, k).distinct().join(many, "h", "left_semi").collect()], np.int64).view(np.uint64)
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id: str, text: str = "text", min_words: int = 40, min_cover: float = 0.65, block_words: int = 4_000_000) -> DataFrame:
@@ -182,8 +226,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id:
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
     out = None
     for b in range(blocks):
-        rows = need.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id").collect() if blocks > 1 else need.orderBy("id").collect()
-        shared = spark.sparkContext.broadcast(ItemIndex([r.id for r in rows], [r.text for r in rows]))
+        own, given = need, {}
+        if blocks > 1:
+            # Items of the same words fall into one block, and stock is counted over all blocks.
+            same = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+            own = need.where(F.pmod(F.xxhash64(same), F.lit(blocks)) == b)
+            every = need.select(same.alias("text")).distinct()
+            given = {"stock": _shared(own.select("text"), every, K, MAX_STOCK + 1), "repeated": _shared(own.select("text"), every, max(min_words, K), 2)}
+        rows = own.orderBy("id").collect()
+        shared = spark.sparkContext.broadcast(ItemIndex([r.id for r in rows], [r.text for r in rows], min_words, **given))
         part = source.mapInArrow(_mapper(shared, min_words, min_cover), f"`{doc_id}` {kind_d}, `{item_id}` {kind_i}, words_spanned int, words_matched int")
         out = part if out is None else out.unionByName(part)
     return out
