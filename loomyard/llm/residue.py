@@ -223,11 +223,13 @@ class Model:
 def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pull: float = 0.01, most: float = 0.02, common: float = 0.01) -> Model:
     """Expectation-maximization from trusted records; `pull` is the background's weight in the positive class, `most` the
     greatest prior share of residue among the passages. A feature that stands in more than the share `common` of the long
-    records speaks for residue only if a wording of the list has it: short records carry headings of sound ones.
+    records may be a heading of sound ones, which short records carry too. It speaks for residue if a wording of the list or a
+    trusted slot has it, or if whole short records consist of such features and hold it more often than long ones do: what
+    stands in a record regardless of its length makes up no greater share of the short ones.
     """
     seeds = [*TRUSTED_TEXTS, *TRUSTED_SLOTS * SLOT_WEIGHT]
     n = 1 << BITS
-    parts, df, n_long, n_passages = [], np.zeros(n, np.int64), 0, 0
+    parts, df, n_long, n_short, n_passages, n_docs = [], np.zeros(n, np.int64), 0, 0, 0, 0
     for i, chunk in enumerate([seeds, *_chunks(texts)]):  # a slice at a time: only the features are kept
         p = passages(chunk)
         f, which = features(p)
@@ -240,12 +242,16 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
             of_long = (p.words >= short_words)[p.doc[which]]
             df += np.bincount(np.unique(p.doc[which[of_long]] * n + f[of_long]) % n, minlength=n)
             n_long += int((p.words >= short_words).sum())
+            n_short += int(((p.words > 0) & (p.words < short_words)).sum())
         usable = take[which]
-        parts.append((f[usable].astype(np.int32), (which[usable] + n_passages).astype(np.int32), p.slot, given, positive, take))
+        parts.append((f[usable].astype(np.int32), (which[usable] + n_passages).astype(np.int32), p.slot, given, positive, take, short, p.doc + n_docs))
         n_passages += len(p.begin)
-    f, which, slot, given, positive, take = (np.concatenate(x) for x in zip(*parts))
+        n_docs += len(chunk)
+    f, which, slot, given, positive, take, short, doc = (np.concatenate(x) for x in zip(*parts))
     del parts
     is_common = df > max(5.0, common * n_long)
+    told = _told_by_short(f, which, short, doc, is_common, df / max(n_long, 1), n_short)
+    hard = given | (positive & slot)
     weight = positive.astype(np.float64)
     everything = np.bincount(f, minlength=n) + 0.0
     slot_f = slot[which]
@@ -257,7 +263,7 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
     model = None
     for _ in range(rounds):
         w = weight[which]
-        pos = np.where(is_common, np.bincount(f, weights=w * given[which], minlength=n), np.bincount(f, weights=w, minlength=n))
+        pos = np.where(is_common & ~told, np.bincount(f, weights=w * hard[which], minlength=n), np.bincount(f, weights=w, minlength=n))
         size = [max(pos[~kind_of].sum(), 1.0), max(pos[kind_of].sum(), 1.0)]
         p1 = (1 - pull) * pos / np.where(kind_of, size[1], size[0]) + pull * background
         neg = np.maximum(everything - pos, 0.0)
@@ -275,6 +281,19 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
     return model
 
 
+def _told_by_short(f: np.ndarray, which: np.ndarray, short: np.ndarray, doc: np.ndarray, is_common: np.ndarray, rate: np.ndarray, n_short: int, most_rare: float = 0.2) -> np.ndarray:
+    """Common features that short records hold more often, by chance's margin, than long ones. Only records made of common
+    features throughout count: in others the rest is the residue, and the common part may be the heading above it."""
+    size = np.bincount(which, minlength=len(short))
+    rare = np.bincount(which, weights=~is_common[f], minlength=len(short))
+    mixed = np.zeros(doc.max(initial=0) + 1, bool)
+    mixed[doc[short & (rare > most_rare * size)]] = True
+    of = (short & ~mixed[doc])[which]
+    held = np.bincount(np.unique(doc[which[of]] * len(is_common) + f[of]) % len(is_common), minlength=len(is_common))
+    chance = rate * n_short
+    return is_common & (held > chance + 2 * np.sqrt(chance) + 2)
+
+
 def _chunks(texts: list[str | None], size: int = 1_000_000) -> Iterator[list[str | None]]:
     part, held = [], 0
     for t in texts:
