@@ -13,7 +13,10 @@ from ..session import cut
 from ..sources.tables import table
 from .pairing import _WIDE, OTHERS, SLUGS, arm_labels
 
+#: Draws of the SQL; the queries run more.
 DRAWS = 40
+#: Draws of the queries, as in the reference.
+RESAMPLES, CLUSTER_RESAMPLES = 1_000, 10_000
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
@@ -49,14 +52,14 @@ def best_arm_per_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_hash_ci(spark: SparkSession, d: str) -> DataFrame:
-    out = U.hash_bootstrap(predictions(spark, d), ["arm"], "y_true", "pos", draws=DRAWS, salt="boot")
+    out = U.hash_bootstrap(predictions(spark, d), ["arm"], "y_true", "pos", draws=RESAMPLES, salt="boot")
     return out.select("arm", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer", "c_custkey", "c_nationkey")
     rows = predictions(spark, d).join(c, F.col("pos") == F.col("c_custkey"))
-    return U.cluster_bootstrap(rows, "c_nationkey", "y_true", draws=DRAWS, salt="cluster").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return U.cluster_bootstrap(rows, "c_nationkey", "y_true", draws=CLUSTER_RESAMPLES, salt="cluster").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:

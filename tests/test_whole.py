@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from loomyard.queries import quality
+from loomyard.queries import metrics, quality
 
 
 def test_feature_integration_takes_every_order(spark, small):
@@ -17,3 +17,26 @@ def test_feature_integration_takes_every_order(spark, small):
     for r in got:
         assert r.n_orders_missing == (r.c_custkey not in n.index) and (r.n_orders or 0) == n.get(r.c_custkey, 0)
         assert float(r.total or 0) == pytest.approx(total.get(r.c_custkey, 0.0), abs=0.01)
+
+
+def draw_weights(salt, units, draws):
+    """(draw, unit) Poisson weights from the same hash."""
+    edges = np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) for k in range(8)])
+    u = [[int(hashlib.sha256(f"{salt}:{d}:{x}".encode()).hexdigest()[:8], 16) / 2**32 for x in units] for d in range(draws)]
+    return np.searchsorted(edges, np.array(u), side="right")
+
+
+def test_bootstraps_draw_as_often_as_the_reference(spark, small):
+    rows = metrics.predictions(spark, small).toPandas()
+    got = {r.arm: (r.low, r.high) for r in metrics.bootstrap_hash_ci(spark, small).collect()}
+    units = sorted(rows["pos"].unique())
+    w = draw_weights("boot", units, 1_000)
+    assert set(got) == set(rows["arm"])
+    for arm, part in rows.groupby("arm"):
+        own = w[:, np.searchsorted(units, part["pos"])]
+        assert got[arm] == pytest.approx(np.percentile(own @ part["y_true"].to_numpy(float) / own.sum(1), [2.5, 97.5]), abs=2e-6)
+    nation = pq.read_table(f"{small}/customer.parquet").to_pandas().set_index("c_custkey")["c_nationkey"]
+    per = rows.groupby(nation.loc[rows["pos"]].to_numpy())["y_true"].agg(["sum", "count"]).astype(float)
+    w = draw_weights("cluster", per.index, 10_000)
+    r = metrics.cluster_bootstrap(spark, small).first()
+    assert (r.low, r.high) == pytest.approx(np.percentile(w @ per["sum"].to_numpy() / (w @ per["count"].to_numpy()), [2.5, 97.5]), abs=2e-6)
