@@ -34,10 +34,15 @@ MAX_STOCK = 2
 RARE_SHARE = 0.4
 #: Postings matched at a time.
 PART = 4_000_000
-#: Words that may be damaged in a row, words that may stand inside the passage, words lost at an insertion.
+#: Words of the item that may be lost in a row, to damage or at an insertion. An insertion of more than MAX_INSERTED words, of
+#: whatever length, needs MIN_SIDE matched words on either side of it.
 MAX_DAMAGE = 12
 MAX_INSERTED = 120
+MIN_SIDE = 15
+#: A chain that loses more words than this at an insertion, or has a long one, must reach min_cover,
+#: and have this share of its shingles outside stock.
 MAX_LOST = 4
+RARE_WIDE = 0.67
 
 
 class ItemIndex:
@@ -138,7 +143,7 @@ def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, r
     """(words spanned in the item, words in matching shingles) of the best chain that counts, or None.
 
     A run may be followed by one after damage (both texts go on by about as many words) or after an insertion (the item
-    goes on at once, the document later).
+    goes on after at most as many words as damage may take, the document later).
 
     p and q are the places of matching shingles in the document and the item; rare: which of them are no stock (all, if not given).
     """
@@ -147,26 +152,34 @@ def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, r
     rare = np.ones(len(p), bool) if rare is None else rare[order]
     new = np.flatnonzero(np.append(True, (np.diff(p) != 1) | (np.diff(q) != 1)))
     size = np.diff(np.append(new, len(p)))
-    best, done, oldest, reach = None, [], 0, 0
+    best, done, far, oldest, reach = None, [], {}, 0, 0
     known = np.add.reduceat(rare.astype(np.int64), new) if len(p) else size
     for a, b, n, r in sorted(zip(p[new].tolist(), q[new].tolist(), size.tolist(), known.tolist())):
         # The chain that ends in this run: its first word in the item, the words matched, its shingles and those that are no stock.
         own = n + K - 1
-        end_a, end_b, first, got, every, sure = a + own, b + own, b, own, n, r
+        end_a, end_b, first, got, every, sure, side, whole, dense = a + own, b + own, b, own, n, r, own, True, False
         while oldest < len(done) and done[oldest][4] < a - MAX_INSERTED:
+            # By its last word in the item, the best chain that ended so far back.
+            if (old := done[oldest])[7] >= MIN_SIDE and (old[1] not in far or far[old[1]][3] < old[3]):
+                far[old[1]] = old
             oldest += 1
-        for ea, eb, f, m, _, e, k in done[oldest:]:
+        for ea, eb, f, m, _, e, k, d, w, t in done[oldest:]:
             gap_a, gap_b = a - ea, b - eb
             damaged = -K < gap_b <= MAX_DAMAGE and abs(gap_a - gap_b) <= 2
-            inserted = -K < gap_b <= MAX_LOST and gap_b < gap_a <= MAX_INSERTED
+            inserted = -K < gap_b <= MAX_DAMAGE and gap_b < gap_a <= MAX_INSERTED
             if end_b > eb and (damaged or inserted):
                 c = m + min(own, end_b - eb)
                 if c > got:
-                    first, got, every, sure = f, c, e + n, k + r
+                    first, got, every, sure, side, whole = f, c, e + n, k + r, d + c - m, w
+                    dense = t or not damaged and gap_b > MAX_LOST
+        for eb in range(b - MAX_DAMAGE, b + K) if far else ():
+            if eb in far and end_b > eb and (c := far[eb][3] + min(own, end_b - eb)) > got:
+                first, got, every, sure, side, whole = far[eb][2], c, far[eb][5] + n, far[eb][6] + r, c - far[eb][3], False
+                dense = True
         reach = max(reach, end_a)
-        done.append((end_a, end_b, first, got, reach, every, sure))
+        done.append((end_a, end_b, first, got, reach, every, sure, side, whole, dense))
         span = end_b - first
-        if sure >= RARE_SHARE * every and span >= min_words and (got >= min_cover * span or got >= max(min_words, 0.45 * span)) and (best is None or got > best[1]):
+        if (whole or side >= MIN_SIDE) and sure >= (RARE_WIDE if dense else RARE_SHARE) * every and span >= min_words and (got >= min_cover * span or (not dense and got >= max(min_words, 0.45 * span))) and (best is None or got > best[1]):
             best = (span, got)
     return best
 

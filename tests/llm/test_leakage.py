@@ -30,3 +30,16 @@ def test_stock_phrases_of_many_items_are_no_case():
     phrases = [prose(9, 240 + k) for k in range(4)]
     items = [sum((x + prose(2, 250 + 10 * k + j) for j, x in enumerate(phrases)), prose(40, 260 + k)) + prose(40, 270 + k) for k in range(5)]
     assert found([prose(100, 280) + sum((x + prose(2, 300 + j) for j, x in enumerate(phrases)), []) + prose(100, 281)], items) == []
+
+
+@pytest.mark.parametrize("lost", [(25,), (34,), (24, 26), (29, 30), (24, 35)])
+def test_damage_beside_an_insertion_breaks_no_case(lost):
+    item = prose(60, 400)
+    hurt = ["zzz" if i in lost else w for i, w in enumerate(item)]
+    assert found([prose(100, 401) + hurt[:30] + prose(20, 402) + hurt[30:] + prose(100, 403)], [item]) == [(0, 0)]
+
+
+@pytest.mark.parametrize("foreign", [119, 121, 3000])
+def test_insertions_of_any_length_break_no_case(foreign):
+    item = prose(76, 410)
+    assert found([prose(100, 411) + item[:38] + prose(foreign, 412) + item[38:] + prose(100, 413)], [item]) == [(0, 0)]
