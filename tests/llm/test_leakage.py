@@ -43,3 +43,9 @@ def test_damage_beside_an_insertion_breaks_no_case(lost):
 def test_insertions_of_any_length_break_no_case(foreign):
     item = prose(76, 410)
     assert found([prose(100, 411) + item[:38] + prose(foreign, 412) + item[38:] + prose(100, 413)], [item]) == [(0, 0)]
+
+
+def test_every_sixth_word_damaged_is_always_proposed():
+    items = [prose(150, 420 + k) for k in range(40)]
+    docs = [prose(150, 500 + k) + [w if i % 6 < 5 else "zzz" for i, w in enumerate(x[40:100])] + prose(150, 550 + k) for k, x in enumerate(items)]
+    assert found(docs, items) == [(k, k) for k in range(40)]
