@@ -45,7 +45,10 @@ def _encoded(train: DataFrame, numeric: list[str], categorical: list[str]):
 
 def _cross_fit(df: DataFrame, target: str, numeric: list[str], categorical: list[str], row: str, fold: str, name: str, estimator) -> DataFrame:
     out = []
-    for k in [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(101).collect()]:
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(101).collect()]
+    if len(folds) > 100:
+        raise ValueError("more than 100 folds")
+    for k in folds:
         train, test = df.where((F.col(fold) != k) & F.col(target).isNotNull()), df.where(F.col(fold) == k)
         prepare, stages = _encoded(train, numeric, categorical)
         ready = prepare(train)

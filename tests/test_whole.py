@@ -40,3 +40,11 @@ def test_bootstraps_draw_as_often_as_the_reference(spark, small):
     w = draw_weights("cluster", per.index, 10_000)
     r = metrics.cluster_bootstrap(spark, small).first()
     assert (r.low, r.high) == pytest.approx(np.percentile(w @ per["sum"].to_numpy() / (w @ per["count"].to_numpy()), [2.5, 97.5]), abs=2e-6)
+
+
+def test_more_folds_than_are_read_raise(spark):
+    from loomyard.models import oof
+
+    df = spark.range(102).selectExpr("id AS i", "id AS f", "CAST(id AS double) AS x", "CAST(id AS double) AS y")
+    with pytest.raises(ValueError, match="100 folds"):
+        oof.ridge(df, "y", numeric=["x"], categorical=[], row="i", fold="f")
