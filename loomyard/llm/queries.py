@@ -61,8 +61,8 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_item", "item_id", "text"), doc_id="doc_id", item_id="item_id")
 
 
-def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
-    return mixing.Mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_target"))
+def _mixture(spark: SparkSession, d: str, **how: bool) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_target"), **how)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +77,21 @@ def p9_records(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).records()
 
 
+def p9_held(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest mixture in which every source has its share."""
+    return _mixture(spark, d, hold_shares=True).shares()
+
+
+def p9_words_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same mixture in words, which SQL can count."""
+    return _mixture(spark, d, words=True).shares()
+
+
+def p9_words_records(spark: SparkSession, d: str) -> DataFrame:
+    """Its records; the shard, drawn by numpy's hypergeometric generator, is left to the tests."""
+    return _mixture(spark, d, words=True).records().drop("shard")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_records(spark, d).select("doc_id")
 
@@ -87,7 +102,22 @@ def p10_records(spark: SparkSession, d: str) -> DataFrame:
 
 _CAT = "nullif(translate(lower(trim({c}, " + _WS + ")), ' -', '__'), '')"
 _CITY, _TYPE = _CAT.format(c="source_city"), _CAT.format(c="scenario_type")
+_MIX = f"""WITH t AS (SELECT doc_id AS id, {_CAT.format(c="source")} AS s, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9_]+')), 0) AS n FROM documents),
+a AS (SELECT sum(n)::BIGINT AS n FROM t), g AS (SELECT s, count(*) AS docs, sum(n)::BIGINT AS n FROM t GROUP BY s),
+w AS (SELECT {_CAT.format(c="source")} AS s, max(target_permille) AS p, max(max_repeats) AS r FROM mix_target WHERE {_CAT.format(c="source")} IS NOT NULL GROUP BY ALL),
+p AS (SELECT w.s, p, r, coalesce(docs, 0) AS docs, coalesce(g.n, 0) AS n, p * a.n / 1000.0::DOUBLE AS wanted, (coalesce(g.n, 0) + 4095) // 4096 AS cells, a.n AS whole FROM w LEFT JOIN g ON g.s = w.s, a),
+d AS (SELECT id, t.s, t.n, ('0x' || sha256('block-17:' || id)[:15])::BIGINT % cells AS block FROM t JOIN p ON t.s = p.s WHERE cells > 0),
+b AS (SELECT s, block, sum(n)::BIGINT AS bn FROM d GROUP BY ALL), k AS (SELECT s, count(*) AS blocks FROM b GROUP BY s),
+q AS (SELECT p.*, coalesce(blocks, 0) AS blocks, CASE WHEN n > 0 THEN least(r * blocks, floor(wanted / n * blocks + 0.5)::BIGINT) ELSE 0 END AS draws FROM p LEFT JOIN k ON k.s = p.s),
+c AS (SELECT s, draws, blocks, unnest(range(0, (draws - 1) // blocks + 1)) AS copy FROM q WHERE draws > 0),
+o AS (SELECT c.*, block, bn, row_number() OVER (PARTITION BY c.s, copy ORDER BY sha256('pass-17:' || c.s || ':' || copy || ':' || block)[:16], block) AS nth FROM c JOIN b ON b.s = c.s),
+e AS (SELECT * FROM o WHERE nth + copy * blocks <= draws)"""
 SQL = {
+    "p9_words_shares": f"""{_MIX}, f AS (SELECT s, sum(bn)::BIGINT AS dn, count(*) AS db, max(copy) + 1 AS mc FROM e GROUP BY s),
+x AS (SELECT q.*, coalesce(dn, 0) AS dn, coalesce(db, 0) AS db, coalesce(mc, 0) AS mc FROM q LEFT JOIN f ON f.s = q.s)
+SELECT s AS source, p AS target_permille, r AS max_repeats, docs, n AS tokens, wanted AS wanted_tokens, blocks, draws, dn AS drawn_tokens, db AS drawn_blocks, mc AS most_copies,
+round(dn * 1000 / sum(dn) OVER (), 3) AS reached_permille, round(dn * 1000 / whole, 3) AS of_all_permille, db >= r * blocks AND dn * 1000 < p * whole AS short FROM x""",
+    "p9_words_records": f"""{_MIX} SELECT id AS doc_id, d.s AS source, copy, sha256('shuffle-17:' || id || ':' || copy)[:16] AS place_key FROM d JOIN e ON e.s = d.s AND e.block = d.block""",
     "p2_found": f"""
 WITH l AS (SELECT row_id, lower(trim(log_name, {_WS})) AS log, anchor_timestamp_us AS a, window_start_us AS w FROM scenario_sample),
 i AS (SELECT row_id, log, 'anchor' AS instant, a AS at_us FROM l UNION ALL SELECT row_id, log, 'window_start', w FROM l),
@@ -124,4 +154,4 @@ h AS (SELECT id, c, t, sha256('{SALT}:' || id)[:16] AS key_hash FROM f WHERE n =
 k AS (SELECT * FROM h WHERE ('0x' || key_hash[:8])::BIGINT < {round(RATE * 2**32)})
 SELECT id AS scenario_id, c AS source_city, t AS scenario_type, key_hash, row_number() OVER (PARTITION BY c, t ORDER BY key_hash, id) AS ranked FROM k""",
 }
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found, "p5_sample": p5_sample, "p6_selected": p6_selected, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_shares": p9_shares, "p9_records": p9_records, "p10_found": p10_found, "p10_records": p10_records}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found, "p5_sample": p5_sample, "p6_selected": p6_selected, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_shares": p9_shares, "p9_records": p9_records, "p9_held": p9_held, "p9_words_shares": p9_words_shares, "p9_words_records": p9_words_records, "p10_found": p10_found, "p10_records": p10_records}

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomyard.llm import leakage, mixing, residue, textvec, tokens
+from loomyard.llm import leakage, mixing, queries, residue, textvec, tokens
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(RNG.randrange(3, 9))) for _ in range(4000)]
@@ -84,23 +84,31 @@ def test_mixture_reaches_shares_within_the_cap(spark):
     rows = [(i, "Big-one" if i % 2 else " BIG_ONE", "word " * 40) for i in range(400)] + [(1000 + i, "small", "word " * 40) for i in range(20)] + [(2000, "tiny", "word " * 40), (2001, None, "word"), (2002, "small", None), (2003, "small", "")]
     d = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("tokens", F.lit(1)).withColumn("copy", F.lit(1))
     t = spark.createDataFrame([("big_one", 700, 1), ("Small", 200, 10), ("tiny", 100, 3), ("absent", 0, 1)], "source string, target_permille long, max_repeats long")
-    m = mixing.Mixture(d, t, shards=4, least_block=120)
+    m = mixing.Mixture(d, t, shards=4, block_tokens=120)
     plan = {r.source: r for r in m.plan().collect()}
-    assert plan["tiny"].short and not plan["big_one"].short and not plan["small"].short and not plan["absent"].short
     recs = m.records().collect()
     assert len({(r.doc_id, r["copy"]) for r in recs}) == len(recs)
     assert all(r["copy"] < plan[r.source].max_repeats for r in recs) and {r.shard for r in recs} == {0, 1, 2, 3}
     shares = {r.source: r for r in m.shares().collect()}
+    assert [k for k, r in shares.items() if r.short] == ["tiny"] and shares["tiny"].drawn_blocks == 3 * plan["tiny"].blocks
+    held = {r.source: r for r in mixing.Mixture(d, t, shards=4, block_tokens=120, hold_shares=True).shares().collect()}
+    assert all(abs(held[k].reached_permille - plan[k].target_permille) < 150 for k in held) and held["big_one"].drawn_tokens < shares["big_one"].drawn_tokens
     assert abs(shares["big_one"].drawn_tokens - plan["big_one"].wanted_tokens) < 0.1 * plan["big_one"].wanted_tokens
     assert abs(shares["small"].drawn_tokens - plan["small"].wanted_tokens) < 0.25 * plan["small"].wanted_tokens
     assert shares["tiny"].drawn_tokens == 3 * plan["tiny"].tokens
-    again = mixing.Mixture(d.repartition(5), t, shards=4, least_block=120)
+    again = mixing.Mixture(d.repartition(5), t, shards=4, block_tokens=120)
     assert sorted(map(tuple, again.records().collect())) == sorted(map(tuple, recs))
     for docs, targets in ((d.limit(0), t), (d, t.limit(0))):
         e = mixing.Mixture(docs, targets)
         assert e.records().count() == 0 and e.shares().count() == targets.count()
 
 
+def test_short_sources_are_read_from_the_dealt_blocks(spark, small):
+    """Ranks of the draw, quotas of the tree and sums of blocks are all part of the plan of p9_found."""
+    plan = queries.p9_found(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" in plan and "upto" in plan and "sum(tokens" in plan
+
+
 CLEAN = "The tribunal found that the ledger was kept in order and dismissed the claim with costs of 1,200 crowns. "
 BAD = ["404 Not Found", "Please enable JavaScript to view this decision.", CLEAN * 30 + "\n\n4. Lorem ipsum dolor sit amet consectetur.\n\n" + CLEAN * 20, CLEAN * 20 + "The claimant {{ claimant_name }} appeared. " + CLEAN * 20, CLEAN * 30 + "Decided undefined\n" + CLEAN * 20, CLEAN * 40 + "\n\nService temporarily unavailable"]
 GOOD = [CLEAN * 30, CLEAN * 20 + "[REDACTED] and [sic] appear. " + CLEAN * 20, CLEAN * 20 + 'The system printed "undefined" on 37 receipts, and the tribunal was shown each. ' + CLEAN * 20, CLEAN * 20 + "The respondent's shop required customers to enable JavaScript, a term which the tribunal found was never explained. " + CLEAN * 20, "", None]
