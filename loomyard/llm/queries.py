@@ -29,6 +29,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.together(rows, LINKS, "source_recording").select(F.col("a").alias("recording_a"), F.col("b").alias("recording_b"))
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: each recording with the least one that must share its split."""
+    out = splits.groups(table(spark, d, "scenario_sample", *LINKS), LINKS, "source_recording")
+    return out.select(F.col("value").alias("source_recording"), F.col("group").alias("group_recording"))
+
+
+def p3_forest(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes, components and edges of the spanning forest: as many edges as nodes less components, none twice."""
+    f = splits.spanning_forest(*splits.shared_key_edges(table(spark, d, "scenario_sample", *LINKS), LINKS))
+    n = f.members.agg(F.count("*").alias("nodes"), F.countDistinct("root").alias("components"))
+    e = f.edges.agg(F.count("*").alias("forest_edges"), F.countDistinct("a", "b").alias("different_edges"))
+    return n.crossJoin(e)  # one row each
+
+
 def p3_split(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "scenario_sample", "row_id", *LINKS)
     return splits.split_rows(rows, LINKS, "row_id").select("row_id", "split")
@@ -112,7 +126,18 @@ q AS (SELECT p.*, coalesce(blocks, 0) AS blocks, CASE WHEN n > 0 THEN least(r *
 c AS (SELECT s, draws, blocks, unnest(range(0, (draws - 1) // blocks + 1)) AS copy FROM q WHERE draws > 0),
 o AS (SELECT c.*, block, bn, row_number() OVER (PARTITION BY c.s, copy ORDER BY sha256('pass-17:' || c.s || ':' || copy || ':' || block)[:16], block) AS nth FROM c JOIN b ON b.s = c.s),
 e AS (SELECT * FROM o WHERE nth + copy * blocks <= draws)"""
+# The closure over all nodes; rounds carry the least label on, to the end of every component.
+_LINK = f"""WITH RECURSIVE s AS (SELECT DISTINCT 's|' || lower(trim(scenario_id, {_WS})) AS a, 'l|' || lower(trim(log_name, {_WS})) AS b, 'r|' || lower(trim(source_recording, {_WS})) AS c FROM scenario_sample),
+n AS (SELECT a AS x FROM s UNION SELECT b FROM s UNION SELECT c FROM s),
+e AS (SELECT a AS x, b AS y FROM s UNION SELECT b, c FROM s UNION SELECT a, c FROM s),
+g AS (SELECT x, y FROM e WHERE x IS NOT NULL AND y IS NOT NULL UNION SELECT y, x FROM e WHERE x IS NOT NULL AND y IS NOT NULL),
+t(x, l) USING KEY (x) AS (SELECT x, x FROM n WHERE x IS NOT NULL UNION
+SELECT g.y, min(t.l) FROM t JOIN g ON g.x = t.x JOIN recurring.t AS o ON o.x = g.y WHERE t.l < o.l GROUP BY g.y),
+r AS (SELECT substr(x, 3) AS v, l FROM t WHERE x LIKE 'r|%')"""
 SQL = {
+    "p3_found": f"{_LINK} SELECT a.v AS recording_a, b.v AS recording_b FROM r AS a JOIN r AS b ON a.l = b.l AND a.v < b.v",
+    "p3_groups": f"{_LINK} SELECT v AS source_recording, min(v) OVER (PARTITION BY l) AS group_recording FROM r",
+    "p3_forest": f"{_LINK} SELECT count(*) AS nodes, count(DISTINCT l) AS components, count(*) - count(DISTINCT l) AS forest_edges, count(*) - count(DISTINCT l) AS different_edges FROM t",
     "p9_words_shares": f"""{_MIX}, f AS (SELECT s, sum(bn)::BIGINT AS dn, count(*) AS db, max(copy) + 1 AS mc FROM e GROUP BY s),
 x AS (SELECT q.*, coalesce(dn, 0) AS dn, coalesce(db, 0) AS db, coalesce(mc, 0) AS mc FROM q LEFT JOIN f ON f.s = q.s)
 SELECT s AS source, p AS target_permille, r AS max_repeats, docs, n AS tokens, wanted AS wanted_tokens, blocks, draws, dn AS drawn_tokens, db AS drawn_blocks, mc AS most_copies,
@@ -154,4 +179,4 @@ h AS (SELECT id, c, t, sha256('{SALT}:' || id)[:16] AS key_hash FROM f WHERE n =
 k AS (SELECT * FROM h WHERE ('0x' || key_hash[:8])::BIGINT < {round(RATE * 2**32)})
 SELECT id AS scenario_id, c AS source_city, t AS scenario_type, key_hash, row_number() OVER (PARTITION BY c, t ORDER BY key_hash, id) AS ranked FROM k""",
 }
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_split": p3_split, "p5_found": p5_found, "p5_sample": p5_sample, "p6_selected": p6_selected, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_shares": p9_shares, "p9_records": p9_records, "p9_held": p9_held, "p9_words_shares": p9_words_shares, "p9_words_records": p9_words_records, "p10_found": p10_found, "p10_records": p10_records}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_groups": p3_groups, "p3_forest": p3_forest, "p3_split": p3_split, "p5_found": p5_found, "p5_sample": p5_sample, "p6_selected": p6_selected, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_shares": p9_shares, "p9_records": p9_records, "p9_held": p9_held, "p9_words_shares": p9_words_shares, "p9_words_records": p9_words_records, "p10_found": p10_found, "p10_records": p10_records}

@@ -7,8 +7,9 @@ size band and dealt systematically to the splits.
 
 Scale: edges are distinct and kept as least edge per pair of components; the least edge per component is a min_by
 aggregate with map-side combine, so a hub with a third of all edges is no hot spot; joins on component labels have one
-row per label on one side and are split by AQE on the other. All lineage is cut by reliable checkpoints. Components are
-never collected; only counts, and the sizes of the at most `1 / large_share` largest ones, reach the driver.
+row per label on one side and are split by AQE on the other. All lineage is cut by reliable checkpoints. Labels are
+composed from the last, smallest round backwards, so only one join is as large as the set of nodes. Components are never
+collected; only sums per size band and hash slot reach the driver, at most 64 * SLOTS figures at any size.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_hex, norm_key
-from ..operators.ranking import ranked_by_hash
 from ..session import cut
 
+#: Hash slots per size band, three hex digits.
+SLOTS = 4096
+
 
 @dataclass
 class Forest:
@@ -41,36 +44,50 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame | None = None) -> Forest:
     all_nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node")))
     if nodes is not None:
         all_nodes = all_nodes.unionByName(nodes.where("node is not null").select("node"))
-    members = all_nodes.distinct().withColumn("root", F.col("node"))
+    all_nodes = all_nodes.distinct()
     e = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # (u, v): components of the ends; w: total order.
     e = cut(e.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b").alias("w")))
-    chosen, n = [], 0
+    chosen, labels = [], []
     while not e.isEmpty():
-        n += 1
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+        sides = F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = e.select(sides.alias("x"), "w").select("x.u", "x.v", "w")
         least = cut(both.groupBy("u").agg(F.min_by(F.struct("v", "w"), "w").alias("m")).select("u", F.col("m.v").alias("v"), F.col("m.w").alias("w")))
-        chosen.append(least.select("w.a", "w.b", F.lit(n).alias("round")).distinct())
+        chosen.append(least.select("w.a", "w.b", F.lit(len(chosen) + 1).alias("round")).distinct())
         # Only the two ends of a mutual choice form a cycle; its lesser label becomes the root.
         up, back = least.select("u", "v"), least.select(F.col("u").alias("x"), F.col("v").alias("y"))
         mutual = (F.col("y") == F.col("u")) & (F.col("u") < F.col("v"))
-        parent = cut(up.join(back, F.col("v") == F.col("x")).select("u", F.when(mutual, F.col("u")).otherwise(F.col("v")).alias("p")))
-        while True:  # pointer jumping: depth halves each time
-            top = parent.select(F.col("u").alias("x"), F.col("p").alias("y"))
-            parent = cut(parent.join(top, F.col("p") == F.col("x")).select("u", F.col("y").alias("p"), (F.col("y") != F.col("p")).alias("moved")))
-            moved = not parent.where("moved").isEmpty()
-            parent = parent.select("u", "p")
-            if not moved:
-                break
+        parent = up.join(back, F.col("v") == F.col("x")).select("u", F.when(mutual, F.col("u")).otherwise(F.col("v")).alias("p"))
+        parent = _to_roots(parent)
+        labels.append(parent)
         label = parent.withColumnRenamed("u", "x")
-        members = cut(members.join(label, F.col("root") == F.col("x"), "left").select("node", F.coalesce("p", "root").alias("root")))
         e = e.join(label, F.col("u") == F.col("x")).select(F.col("p").alias("u"), "v", "w")
         e = e.join(label, F.col("v") == F.col("x")).select("u", F.col("p").alias("v"), "w").where("u <> v")
         e = cut(e.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w")))
     forest = chosen[0] if chosen else ends.limit(0).withColumn("round", F.lit(0))
     for c in chosen[1:]:
         forest = forest.unionByName(c)
-    return Forest(members, forest)
+    if not labels:
+        return Forest(all_nodes.withColumn("root", F.col("node")), forest)
+    root = labels.pop()
+    for label in reversed(labels):
+        later = root.select(F.col("u").alias("x"), F.col("p").alias("q"))
+        root = label.join(later, F.col("p") == F.col("x"), "left").select("u", F.coalesce("q", "p").alias("p"))
+    members = all_nodes.join(root, F.col("node") == F.col("u"), "left").select("node", F.coalesce("p", "node").alias("root"))
+    return Forest(cut(members), forest)
+
+
+def _to_roots(parent: DataFrame) -> DataFrame:
+    """(u, p) with p the root of u's tree, by pointer jumping: the depth becomes a quarter with each checkpoint."""
+    while True:
+        jump = parent
+        for _ in range(2):
+            top = jump.select(F.col("u").alias("x"), F.col("p").alias("y"))
+            jump = jump.join(top, F.col("p") == F.col("x")).select("u", F.col("y").alias("p"), (F.col("y") != F.col("p")).alias("moved"))
+        parent = cut(jump)
+        if parent.where("moved").isEmpty():
+            return parent.select("u", "p")
+        parent = parent.select("u", "p")
 
 
 def shared_key_edges(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -91,54 +108,53 @@ def linked_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, Forest]:
     return keyed.join(forest.members.withColumnRenamed("node", "__node"), "__node", "left").drop("__node"), forest
 
 
-def split_rows(rows: DataFrame, keys: list[str], row_id: str, *, shares: dict[str, int] | None = None, salt: str = "splits", large_share: float = 0.002) -> DataFrame:
+def split_rows(rows: DataFrame, keys: list[str], row_id: str, *, shares: dict[str, int] | None = None, salt: str = "splits") -> DataFrame:
     """Every row with `root` and `split`; rows linked by any of `keys`, directly or not, share their split.
 
-    shares are whole per cents that add up to 100. Components of at least large_share of all rows (so at most
-    1 / large_share of them) go, largest first, to the split that lacks most rows. The rest are banded by size (powers of
-    two), ordered by hash in the band, and dealt by position, so each band is divided in the given proportions. Rows
-    without any key are components of their own, dealt by the hash of their row_id.
+    shares are whole per cents that add up to 100. Roots are banded by size (powers of two) and ordered by hash in the
+    band, 4,096 slots of it. Along the cumulated size, from the band of the largest down, each slot goes to the split that
+    then lacks most, so every band is divided in the given proportions, and what a large component leaves uneven is made
+    up for by the bands below. Rows without any key are components of their own, dealt by the hash of their row_id.
     """
     shares = shares or {"train": 70, "validation": 15, "test": 15}
     if sum(shares.values()) != 100:
         raise ValueError("shares must add up to 100")
     linked, _ = linked_rows(rows, keys)
-    linked = linked.withColumn("root", F.coalesce("root", F.concat(F.lit("row|"), F.col(row_id).cast("string"))))
-    sizes = linked.groupBy("root").agg(F.count("*").alias("size"))
-    total = max(1, rows.count())
-    limit = max(2.0, large_share * total)
-    large = sizes.where(F.col("size") >= limit).orderBy(F.desc("size"), "root").collect()
-    lack = {k: total * v / 100 for k, v in shares.items()}
+    linked = cut(linked.withColumn("root", F.coalesce("root", F.concat(F.lit("row|"), F.col(row_id).cast("string")))))
+    band = F.floor(F.log2("size")).cast("int")
+    sizes = linked.groupBy("root").agg(F.count("*").alias("size")).select("root", "size", band.alias("band"), F.substring(hash_hex(salt, F.col("root")), 1, 3).alias("slot"))
+    held = {k: 0 for k in shares}
     dealt = []
-    for r in large:
-        best = max(lack, key=lambda k: (lack[k], k))
-        lack[best] -= r["size"]
-        dealt.append((r["root"], best))
-    # The deal of the rest makes up for what the large ones left uneven.
-    rest = sum(max(0.0, x) for x in lack.values()) or 1.0
-    small = sizes.where(F.col("size") < limit).withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("h", hash_hex(salt, F.col("root")))
-    small = ranked_by_hash(small, ["band"], "h", ["root"], name="place")
-    # A golden-ratio sequence of the places spreads any share evenly over every stretch of places.
-    at = F.pmod(F.col("place") * F.lit(0.6180339887498949) + F.col("band") * F.lit(0.37), F.lit(1.0))
-    pick, edge = None, 0.0
-    for k in shares:
-        edge += max(0.0, lack[k]) / rest
-        pick = F.when(at < edge, k) if pick is None else pick.when(at < edge, k)
-    small = small.select("root", pick.otherwise(list(shares)[-1]).alias("split"))
-    every = small.unionByName(rows.sparkSession.createDataFrame(dealt, "root string, split string"))
-    return linked.join(every, "root")
-
-
-def together(rows: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """All pairs (a, b), a < b, of different values of `key` that must share a split.
-
-    The pairs are the result; within a component they are made from distinct values.
+    for r in sorted(sizes.groupBy("band", "slot").agg(F.sum("size").alias("size")).collect(), key=lambda r: (-r["band"], r["slot"])):
+        total = sum(held.values()) + r["size"]
+        best = max(shares, key=lambda k: shares[k] * total - 100 * held[k])
+        held[best] += r["size"]
+        dealt.append((r["band"], r["slot"], best))
+    slots = rows.sparkSession.createDataFrame(dealt, "band int, slot string, split string")  # at most 64 * SLOTS rows
+    root = sizes.join(F.broadcast(slots), ["band", "slot"]).select("root", "split")
+    return linked.join(root, "root")
+
+
+def groups(rows: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """(value, group): every value of `key` with the least value that must share its split, itself if there is none less.
+
+    Representatives and membership: one row per value, however large the groups are.
     """
     edges, nodes = shared_key_edges(rows, keys)
     m = spanning_forest(edges, nodes).members.where(F.col("node").startswith(f"{key}|"))
     m = m.select("root", F.expr(f"substring(node, {len(key) + 2})").alias("value"))
-    # Components with a single value have no pair: they are dropped before the join.
-    many = m.groupBy("root").count().where("count > 1").select("root")
-    m = cut(m.join(many, "root"))
-    a, b = m.select("root", F.col("value").alias("a")), m.select("root", F.col("value").alias("b"))
-    return a.join(b, "root").where("a < b").select("a", "b")
+    first = m.groupBy("root").agg(F.min("value").alias("group"))
+    return m.join(first, "root").select("value", "group")
+
+
+def together(rows: DataFrame, keys: list[str], key: str, *, block: int = 1_000) -> DataFrame:
+    """All pairs (a, b), a < b, of different values of `key` that must share a split: `groups`, written out.
+
+    A group of n values is spread over n / block tasks, each of which pairs a part of the values with all of them.
+    """
+    m = cut(groups(rows, keys, key))
+    size = m.groupBy("group").count().where("count > 1").select("group", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+    m = m.join(size, "group")  # values alone have no pair
+    a = m.select("group", F.col("value").alias("a"), F.pmod(F.xxhash64("value"), F.col("parts")).cast("int").alias("part"))
+    b = m.select("group", F.col("value").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["group", "part"]).where("a < b").select("a", "b")

@@ -52,10 +52,10 @@ def test_links_equal_union_find(spark, seed):
     find, up = components(rows)
     recs = sorted({n[1] for n in up if n[0] == 2})
     want = {(a, b) for a in recs for b in recs if a < b and find((2, a)) == find((2, b))}
-    assert {tuple(x) for x in splits.together(df, ["s", "l", "r"], "r").collect()} == want
     f = splits.spanning_forest(*splits.shared_key_edges(df, ["s", "l", "r"]))
     n, roots = f.members.count(), f.members.select("root").distinct().count()
     assert n == len(up) and roots == len({find(x) for x in up}) and f.edges.select("a", "b").distinct().count() == n - roots
+    assert {tuple(x) for x in splits.together(df, ["s", "l", "r"], "r", block=2).collect()} == want
     out = splits.split_rows(df, ["s", "l", "r"], "id").collect()
     assert len(out) == len(rows) and len({r.root for r in out}) == roots + sum(r == (None, None, None) for r in rows)
     assert all(len({x.split for x in out if x.root == r}) == 1 for r in {x.root for x in out})
@@ -69,6 +69,15 @@ def test_splits_stay_near_their_shares_and_empty_tables_pass(spark):
     assert splits.together(df.limit(0), ["k", "z"], "k").count() == 0
 
 
+def test_what_a_hot_component_leaves_uneven_is_made_up_for(spark):
+    """A third of all rows in one component, a tenth in another: the others restore the shares."""
+    key = F.when(F.col("id") < 1200, "hot").when(F.col("id") < 1500, "warm").otherwise(F.concat(F.lit("k"), (F.col("id") / 3).cast("int").cast("string")))
+    df = spark.range(3600).select("id", key.alias("k"))
+    out = splits.split_rows(df, ["k"], "id")
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 2520, "validation": 540, "test": 540}
+    assert out.where("k in ('hot', 'warm')").select("k", "split").distinct().count() == 2
+
+
 def test_target_sample_quotas_ties_and_odd_rows(spark):
     rows = [("A b", "T", f"i{i}") for i in range(50)] + [("a-b", " t ", f"I{i} ") for i in range(50)] + [("c", "t", f"j{i}") for i in range(3)] + [(None, "t", "n"), (" ", "t", "n2"), ("c", "t", None)]
     df = spark.createDataFrame(rows, "source_city string, scenario_type string, scenario_id string").withColumn("rank", F.lit(0))
