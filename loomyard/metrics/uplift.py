@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import positions
 
+# The Lehmer generator with the Mersenne prime 2**31 - 1.
+PRIME, FACTOR = 2147483647, 16807
+
 
 def pehe() -> Column:
     return F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("y_true"), 2)))
@@ -71,36 +78,80 @@ def gain_curve(df: DataFrame, group: list[str]) -> DataFrame:
     return o.select(*group, "step", F.sum("y_true").over(Window.partitionBy(*group).orderBy("step")).alias("gain"))
 
 
-def _draw_weights(df: DataFrame, unit: str, draws: int, salt: str) -> DataFrame:
-    """Every row once per draw with a Poisson(1) weight `w` (up to 8) from the hash of draw and unit."""
-    key = F.concat_ws(":", F.lit(salt), F.col("draw").cast("string"), F.col(unit).cast("string"))
-    rep = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rep = rep.withColumn("__u", F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / 4294967296.0)
-    edges, total, p = [], 0.0, float(np.exp(-1.0))
-    for k in range(8):
+def poisson_edges() -> list[float]:
+    """Cumulated Poisson(1) probabilities, as far as 31 bits can tell them apart."""
+    edges, total, p = [], 0.0, math.exp(-1.0)
+    while p > 2.0**-32:
         total += p
         edges.append(total)
-        p /= k + 1
-    # The number of edges at or below u: one pass over a literal array, u is computed once.
-    weight = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("__u")))
-    return rep.withColumn("w", weight).drop("__u")
+        p /= len(edges)
+    return edges
+
+
+def draw_seed(salt: str, unit: Column) -> Column:
+    """A unit's seed from its hash, between 1 and PRIME - 1."""
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(salt), unit.cast("string")), 256), 1, 12), 16, 10).cast("long")
+    return h % (PRIME - 1) + 1
+
+
+def _weighted_sums(draws: int):
+    """Per key and draw the sums of num and den, weighted; a vector of sums per key and partition, no row is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, multiplier = np.empty(draws, np.int64), 1
+        for k in range(draws):
+            multiplier = multiplier * FACTOR % PRIME
+            step[k] = multiplier
+        edges, held = np.array(poisson_edges()), {}
+
+        def emit() -> pa.RecordBatch:
+            keys = list(held)
+            num, den = (np.concatenate([held[k][i] for k in keys]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()).take(pa.array(np.repeat(np.arange(len(keys)), draws))), pa.array(np.tile(np.arange(draws), len(keys))), pa.array(num), pa.array(den)], names=["k", "draw", "num", "den"])
+
+        for batch in batches:
+            code = batch.column(0).dictionary_encode()
+            at, seed = code.indices.to_numpy(), batch.column(1).to_numpy()
+            num, den = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3))
+            for i, k in enumerate(code.dictionary.to_pylist()):
+                own = np.flatnonzero(at == i)
+                sums = held.setdefault(k, (np.zeros(draws), np.zeros(draws)))
+                for lo in range(0, len(own), 256):
+                    part = own[lo : lo + 256]
+                    w = np.searchsorted(edges, (seed[part, None] * step % PRIME) / PRIME, side="right")
+                    sums[0][:] += num[part] @ w
+                    sums[1][:] += den[part] @ w
+            if len(held) * draws > 2_000_000:
+                yield emit()
+                held.clear()
+        if held:
+            yield emit()
+
+    return run
+
+
+def _interval(df: DataFrame, key: Column, seed: Column, num: Column, den: Column, draws: int) -> DataFrame:
+    """(k, low, high): 2.5 and 97.5 percentiles of the ratio of weighted sums over the draws. Rows with a null num take no part."""
+    rows = df.where(num.isNotNull()).select(key.alias("k"), seed.alias("seed"), num.cast("double").alias("num"), den.cast("double").alias("den"))
+    sums = rows.mapInArrow(_weighted_sums(draws), "k string, draw long, num double, den double")
+    m = sums.groupBy("k", "draw").agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("m"))
+    return m.groupBy("k").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
 def hash_bootstrap(df: DataFrame, group: list[str], value: str, unit: str, *, draws: int, salt: str) -> DataFrame:
-    """Bootstrap of the mean with hash-made Poisson(1) weights: any engine gives the same draws.
+    """Bootstrap of the mean with Poisson(1) weights: a unit's seed comes from its hash, its draws from a multiplicative
+    generator, so any engine gives the same draws. One hash per row; a vector of sums per group and partition.
 
-    Sums combine before the shuffle. 2.5 and 97.5 percentiles of the draws' weighted means.
+    The size of a resample is free instead of fixed at n, as it must be where no task sees all rows.
     """
-    rep = _draw_weights(df.select(*group, value, unit), unit, draws, salt)
-    means = rep.groupBy(*group, "draw").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    return means.groupBy(*group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    out = _interval(df, F.to_json(F.struct(*group)), draw_seed(salt, F.col(unit)), F.col(value), F.lit(1.0), draws)
+    return out.select(F.from_json("k", df.select(*group).schema).alias("g"), "low", "high").select("g.*", "low", "high")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, *, draws: int, salt: str) -> DataFrame:
     """The same over clusters: sums per cluster first, then a ratio of weighted sums per draw."""
     sums = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    m = _draw_weights(sums, cluster, draws, salt).groupBy("draw").agg((F.sum(F.col("s") * F.col("w")) / F.nullif(F.sum(F.col("c") * F.col("w")), F.lit(0))).alias("m"))
-    return m.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return _interval(sums, F.lit(""), draw_seed(salt, F.col(cluster)), F.col("s"), F.col("c"), draws).drop("k")
 
 
 def exact_bootstrap(values: DataFrame, value: str, pos: str, *, draws: int, seed: int, most_rows: int = 100_000) -> tuple[float, float] | None:
@@ -123,10 +174,23 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.where(F.col(value).between(low, high)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def signed_rank(df: DataFrame, value: str, unit: str) -> DataFrame:
-    """Wilcoxon signed-rank sums over non-zero values and the normal approximation z (ties share ranks)."""
-    d = df.where(F.col(value) != 0).select(F.abs(value).alias("a"), (F.col(value) > 0).alias("up"), F.col(unit).alias("pos"), F.lit(1).alias("g"))
-    r = average_ranks(d, ["g"], "a", "r")
-    w, n = F.sum(F.when(F.col("up"), F.col("r")).otherwise(0.0)), F.count("*")
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
-    return r.agg(n.alias("n"), w.alias("w_plus"), F.when(n > 0, (w - mean) / F.sqrt(var)).alias("z"))
+def normal_tail(z: Column) -> Column:
+    """Two-sided p of a standard normal value, by the rational approximation of the error function (error below 2e-7)."""
+    x = F.abs(z) / math.sqrt(2.0)
+    # Abramowitz and Stegun, Handbook of Mathematical Functions, formula 7.1.26.
+    t = 1.0 / (1.0 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), poly * F.exp(-x * x)))
+
+
+def signed_rank(df: DataFrame, value: str, unit: str, group: list[str]) -> DataFrame:
+    """Wilcoxon signed-rank test per group, over non-zero values: (group, n, w_plus, z, p). Ties share ranks and correct the
+    variance; z and p are the normal approximation, null without values."""
+    d = df.where(F.col(value) != 0).select(*group, F.abs(value).alias("a"), (F.col(value) > 0).alias("up"), F.col(unit).alias("pos"))
+    r = average_ranks(d, group, "a", "r")
+    ties = r.groupBy(*group, "a").agg(F.count("*").alias("t")).groupBy(*group).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    s = r.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.when(F.col("up"), F.col("r")).otherwise(0.0)).alias("w_plus")).join(ties, group)
+    n = F.col("n")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    s = s.withColumn("z", F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)))
+    return s.select(*group, "n", "w_plus", "z", normal_tail(F.col("z")).alias("p"))

@@ -66,8 +66,9 @@ def greedy_ranking(df: DataFrame, *, city: str, kind: str, scope: str, start: st
     return ranked_by_hash(taken, [city, kind], "rank_key", [key], name="group_rank")
 
 
-def quota_sample(df: DataFrame, *, city: str, kind: str, scope: str, start: str, end: str, key: str, seed: int, quota: int) -> DataFrame:
+def quota_sample(df: DataFrame, *, city: str, kind: str, scope: str, start: str, end: str, key: str, seed: int, quota: int, refuse: bool = True) -> DataFrame:
     """The variant that stops at `quota` rows per kind, so that fewer windows are claimed. Kinds go from rare to common.
+    A kind that falls short raises when the plan runs, unless `refuse` is false (a pilot sample, which may fall short).
 
     Stopping couples the scopes of a city, so a city is the unit of work and its rows are streamed in order through one
     task, which holds only the accepted windows (at most quota per kind).
@@ -92,31 +93,50 @@ def quota_sample(df: DataFrame, *, city: str, kind: str, scope: str, start: str,
             if take:
                 yield batch.take(pa.array(take))
 
-    return rows.repartition(F.col(city)).sortWithinPartitions(city, "group_size", kind, "rank_key", key).mapInArrow(run, rows.schema)
+    taken = rows.repartition(F.col(city)).sortWithinPartitions(city, "group_size", kind, "rank_key", key).mapInArrow(run, rows.schema)
+    if not refuse:
+        return taken
+    n = taken.groupBy(city, kind).agg(F.count("*").alias("__n"))
+    checked = sizes.join(n, [city, kind], "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    short = F.concat_ws(" ", F.lit("short of the quota:"), F.col(city).cast("string"), F.col(kind).cast("string"), F.col("__n").cast("string"))
+    checked = checked.select(city, kind, F.when(F.col("__n") < quota, F.raise_error(short)).otherwise(F.lit(True)).alias("__ok"))
+    return checked.join(taken, [city, kind], "left").where("__ok").select(*taken.columns)
 
 
 def split_counts(n: int, shares: Sequence[float]) -> list[int]:
     """How many of n units go to (train, validation, test): half-even rounding, the rest to train.
 
-    From 3 units on, every split with a positive share has at least one, taken from the larger of the other two (ties:
-    the last); a split with share 0 has none.
+    From 3 units on, every split with a positive share has at least one, taken from the larger of validation and test
+    (ties: the last); a split with share 0 has none, and what would be left for it goes to the first with a share.
     """
+    if min(shares) < 0 or abs(sum(map(Decimal, map(str, shares))) - 1) > Decimal("1e-9"):
+        raise ValueError("shares must not be negative and must add up to 1")
     val, test = (int((Decimal(str(s)) * n).quantize(Decimal(1), ROUND_HALF_EVEN)) for s in shares[1:])
     if n >= 3:
         val, test = (max(x, 1) if s > 0 else 0 for x, s in ((val, shares[1]), (test, shares[2])))
-        while shares[0] > 0 and n - val - test < 1:
-            if val > test:
-                val -= 1
-            else:
-                test -= 1
-    else:
-        val, test = min(val, n), min(test, n - min(val, n))
-    return [n - val - test, val, test]
+    least = 1 if n >= 3 and shares[0] > 0 else 0
+    while n - val - test < least:
+        if val > test:
+            val -= 1
+        else:
+            test -= 1
+    out = [n - val - test, val, test]
+    if shares[0] == 0:
+        first = 1 if shares[1] > 0 else 2
+        out[first] += out[0]
+        out[0] = 0
+    return out
 
 
 def group_split(units: DataFrame, group: str, unit: str, *, seed: int, shares: Sequence[float] = (0.7, 0.15, 0.15)) -> DataFrame:
-    """(group, unit, split): the distinct units of each group in hash order, cut at the group's split counts."""
-    u = units.select(group, unit).distinct().withColumn("h", hash_hex(f"{seed}:split", F.col(unit).cast("string")))
+    """(group, unit, split): the distinct units of each group in hash order, cut at the group's split counts.
+
+    A unit that stands in two groups would get two splits: that raises when the plan runs. A null unit is a unit; rows
+    with a null group take no part.
+    """
+    u = units.where(F.col(group).isNotNull()).select(group, unit).groupBy(unit).agg(F.min(group).alias("__a"), F.max(group).alias("__z"))
+    two = F.when(F.col("__a") != F.col("__z"), F.raise_error(F.concat(F.lit("a unit stands in two groups: "), F.col(unit).cast("string")))).otherwise(F.col("__a"))
+    u = u.select(two.alias(group), unit).withColumn("h", hash_hex(f"{seed}:split", F.col(unit).cast("string")))
     ranked = ranked_by_hash(u, [group], "h", [unit], name="place")
     sizes = {r[0]: r[1] for r in u.groupBy(group).count().limit(100_001).collect()}
     if len(sizes) > 100_000:
@@ -145,6 +165,19 @@ def balanced_folds(rows: DataFrame, unit: str, item: str, *, folds: int, seed: i
     return rows.sparkSession.createDataFrame(out, f"`{unit}` {rows.schema[unit].dataType.simpleString()}, size long, fold int")
 
 
+def leaking_units(df: DataFrame, unit: str, split: str) -> DataFrame:
+    """(unit, splits): units whose rows stand in more than one split or fold, with the sorted names; none means no leak."""
+    g = df.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.array_sort(F.collect_set(F.col(split).cast("string"))).alias("splits"))
+    return g.where(F.size("splits") > 1).select(unit, F.array_join("splits", "|").alias("splits"))
+
+
+def fold_sizes(rows: DataFrame, folds: DataFrame, unit: str, fold: str) -> DataFrame:
+    """(fold, n_test, n_train) of the index splits: a fold's rows are tested, all others train."""
+    n = rows.join(folds.select(unit, fold), unit).groupBy(fold).agg(F.count("*").alias("n_test"))
+    total = n.agg(F.sum("n_test").alias("n_all"))
+    return n.crossJoin(F.broadcast(total)).select(fold, "n_test", (F.col("n_all") - F.col("n_test")).alias("n_train"))  # one row
+
+
 def first_n(ranked: DataFrame, n: int, rank: str = "group_rank") -> DataFrame:
     """Prefix cut; cuts of growing n are nested."""
     return ranked.where(F.col(rank) <= n)

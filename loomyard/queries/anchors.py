@@ -94,6 +94,16 @@ def log_folds(spark: SparkSession, d: str) -> DataFrame:
     return S.balanced_folds(anchors(spark, d), "user_id", "event_id", folds=5, seed=SEED)
 
 
+def fold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return S.fold_sizes(anchors(spark, d), log_folds(spark, d), "user_id", "fold")
+
+
+def fold_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every row dealt to a fold by its own hash, not by its user: the users that stand in several folds."""
+    a = anchors(spark, d).withColumn("fold", F.expr("cast(conv(substring(sha2(concat('leak:', event_id), 256), 1, 8), 16, 10) AS long) % 2"))
+    return S.leaking_units(a, "user_id", "fold")
+
+
 def _ranking(spark: SparkSession, d: str) -> DataFrame:
     return S.greedy_ranking(anchors(spark, d), city="city", kind="event_type", scope="user_id", start="start_us", end="end_us", key="event_id", seed=SEED, bucket_width=240 * H)
 
@@ -121,8 +131,8 @@ def overlap_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quota_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Stops at 5 per type, which claims fewer windows than cutting a full ranking; tested against brute force."""
-    return S.quota_sample(anchors(spark, d), city="city", kind="event_type", scope="user_id", start="start_us", end="end_us", key="event_id", seed=SEED, quota=5).select("city", "event_type", "event_id", "rank_key")
+    """Stops at 5 per type, which claims fewer windows than cutting a full ranking; tested against brute force. A pilot: may fall short."""
+    return S.quota_sample(anchors(spark, d), city="city", kind="event_type", scope="user_id", start="start_us", end="end_us", key="event_id", seed=SEED, quota=5, refuse=False).select("city", "event_type", "event_id", "rank_key")
 
 
 _A = f"a AS (SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, epoch_us(ts) - {3 * H} AS start_us, epoch_us(ts) + {12 * H} AS end_us, 'city_' || (user_id % 4) AS city FROM events)"
@@ -134,6 +144,9 @@ _SPLIT = f"""{_A}, u AS (SELECT DISTINCT city, user_id, sha256('{SEED}:split:' |
 r AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY h, user_id) AS place, count(*) OVER (PARTITION BY city) AS n FROM u),
 k AS (SELECT *, greatest(1, round_even(n * 0.15, 0)::INT) AS v FROM r),
 s AS (SELECT city, user_id, CASE WHEN place <= n - 2 * v THEN 'train' WHEN place <= n - v THEN 'validation' ELSE 'test' END AS split FROM k)"""
+_FOLDS = f"""{_A}, z AS (SELECT user_id, count(DISTINCT event_id) AS size, row_number() OVER (ORDER BY count(DISTINCT event_id) DESC, sha256('{SEED}:' || user_id)[:16], user_id) AS i FROM a GROUP BY user_id),
+f(i, user_id, size, fold, load) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::INT, [0, 0, 0, 0, 0]::BIGINT[]
+UNION ALL SELECT z.i, z.user_id, z.size, (list_position(load, list_min(load)) - 1)::INT, list_transform(load, lambda x, k: x + CASE WHEN k = list_position(load, list_min(load)) THEN z.size ELSE 0 END) FROM f JOIN z ON z.i = f.i + 1)"""
 _RANK = f"""{_A}, g AS (SELECT *, count(*) OVER (PARTITION BY city, event_type) AS group_size, sha256('{SEED}:' || event_id)[:16] AS rank_key FROM a),
 l AS (SELECT city, user_id, list([{{'id': event_id, 's': start_us, 'e': end_us}}] ORDER BY group_size, event_type, rank_key, event_id) AS xs FROM g GROUP BY ALL),
 t AS (SELECT unnest(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) = 0 THEN list_concat(acc, x) ELSE acc END)).id AS event_id FROM l),
@@ -152,6 +165,10 @@ UNION ALL SELECT 3, 'value_ok', count(*), count(DISTINCT user_id) FROM f WHERE i
 SELECT coalesce(o.n, 0) > 0 AS in_orders, coalesce(l.n, 0) > 0 AS in_lines, count(*) AS n, sum(coalesce(l.n, 0))::BIGINT AS lines FROM o FULL JOIN l USING (k) GROUP BY ALL""",
     "hash_rank_topn": f"""WITH {_A}, r AS (SELECT event_type, event_id, sha256('{SEED}:' || event_id)[:16] AS rank_key FROM a)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY rank_key, event_id) AS group_rank FROM r) WHERE group_rank <= 5""",
+    "log_folds": f"""WITH RECURSIVE {_FOLDS} SELECT user_id, size, fold FROM f WHERE i > 0""",
+    "fold_sizes": f"""WITH RECURSIVE {_FOLDS} SELECT fold, sum(size)::BIGINT AS n_test, (SELECT count(*) FROM a) - sum(size)::BIGINT AS n_train FROM f WHERE i > 0 GROUP BY fold""",
+    "fold_leaks": f"""WITH {_A}, x AS (SELECT user_id, ('0x' || sha256('leak:' || event_id)[:8])::BIGINT % 2 AS fold FROM a)
+SELECT user_id, string_agg(DISTINCT fold::VARCHAR, '|' ORDER BY fold::VARCHAR) AS splits FROM x GROUP BY 1 HAVING count(DISTINCT fold) > 1""",
     "user_split": f"WITH {_SPLIT} SELECT * FROM s",
     "split_coverage": f"""WITH {_SPLIT}, x AS (SELECT city || '|' || event_type AS cell, split FROM a JOIN s USING (city, user_id)),
 d AS (SELECT * FROM (SELECT DISTINCT cell FROM x), (SELECT DISTINCT split FROM s)) SELECT d.cell, d.split, count(x.cell) AS n FROM d LEFT JOIN x ON x.cell = d.cell AND x.split = d.split GROUP BY ALL""",
@@ -163,4 +180,4 @@ z AS (SELECT d.city, d.event_type, coalesce(c.n, 0) AS candidates, coalesce(n.n,
 SELECT *, least(ranked, 5) AS selected_5, greatest(0, 5 - ranked) AS shortfall_5, least(ranked, 25) AS selected_25, greatest(0, 25 - ranked) AS shortfall_25 FROM z""",
     "overlap_violations": f"""WITH {_A} SELECT event_id, user_id FROM (SELECT *, max(end_us) OVER (PARTITION BY user_id ORDER BY start_us, end_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM a) WHERE start_us < r""",
 }
-QUERIES = {f.__name__: f for f in (anchor_flags, anchor_funnel, anchor_tags, tag_counts, type_by_city_counts, time_blocks, shard_reconcile, hash_rank_topn, user_split, split_coverage, log_folds, nonoverlap_ranking, nested_cut, group_shortfall, overlap_violations, quota_sample)}
+QUERIES = {f.__name__: f for f in (anchor_flags, anchor_funnel, anchor_tags, tag_counts, type_by_city_counts, time_blocks, shard_reconcile, hash_rank_topn, user_split, split_coverage, log_folds, fold_sizes, fold_leaks, nonoverlap_ranking, nested_cut, group_shortfall, overlap_violations, quota_sample)}

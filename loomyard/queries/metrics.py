@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,9 +13,7 @@ from ..session import cut
 from ..sources.tables import table
 from .pairing import _WIDE, OTHERS, SLUGS, arm_labels
 
-#: Draws of the SQL; the queries run more.
-DRAWS = 40
-#: Draws of the queries, as in the reference.
+#: Draws of the bootstraps.
 RESAMPLES, CLUSTER_RESAMPLES = 1_000, 10_000
 
 
@@ -67,21 +65,21 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signed_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = predictions(spark, d).where(f"arm = 'delta_{OTHERS[0]}'")
-    return U.signed_rank(rows, "y_true", "pos").select("n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"))
+    out = U.signed_rank(predictions(spark, d), "y_true", "pos", ["arm"])
+    return out.select("arm", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 def constant_oof(spark: SparkSession, d: str) -> DataFrame:
     lab = arm_labels(spark, d).withColumn("fold", F.col("o_custkey") % 5)
-    out = oof.constant(lab, f"delta_{OTHERS[0]}", row="o_custkey", fold="fold")
-    return out.select("id", "fold", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 6).alias("y_pred"))
+    out = reduce(DataFrame.unionByName, [oof.constant(lab, f"delta_{a}", row="o_custkey", fold="fold") for a in OTHERS])
+    return out.select("id", "fold", "target", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 6).alias("y_pred"))
 
 
 def ridge_oof(spark: SparkSession, d: str) -> DataFrame:
-    """Tested against the closed form in tests/test_models.py."""
+    """Tested against the closed form in tests/test_operators.py."""
     c = table(spark, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment")
-    lab = arm_labels(spark, d).withColumn("fold", F.col("o_custkey") % 5).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return oof.ridge(lab, f"delta_{OTHERS[0]}", numeric=["c_acctbal"], categorical=["c_mktsegment"], row="o_custkey", fold="fold")
+    lab = cut(arm_labels(spark, d).withColumn("fold", F.col("o_custkey") % 5).join(c, F.col("o_custkey") == F.col("c_custkey")))
+    return reduce(DataFrame.unionByName, [oof.ridge(lab, f"delta_{a}", numeric=["c_acctbal"], categorical=["c_mktsegment"], row="o_custkey", fold="fold") for a in OTHERS])
 
 
 _P = f"""WITH {_WIDE}, z AS (UNPIVOT (SELECT o_custkey, score_{SLUGS[-1]} AS c, {", ".join(f"delta_{a}" for a in OTHERS)} FROM l) ON {", ".join(f"delta_{a}" for a in OTHERS)} INTO NAME arm VALUE y_true),
@@ -90,13 +88,13 @@ k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY y_pred DESC, pos) A
 
 
 def _weight(salt: str, unit: str) -> str:
-    u = f"('0x' || sha256('{salt}:' || draw || ':' || {unit})[:8])::BIGINT / 4294967296.0::DOUBLE"
-    total, p, edges = 0.0, math.exp(-1.0), []
-    for k in range(8):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    return "CASE " + " ".join(f"WHEN {u} >= {e!r}::DOUBLE THEN {k + 1}" for k, e in reversed(list(enumerate(edges)))) + " ELSE 0 END"
+    """The Poisson weight of a unit in draw g.draw, whose multiplier is g.a."""
+    u = f"((('0x' || sha256('{salt}:' || {unit})[:12])::BIGINT % {U.PRIME - 1} + 1) * g.a % {U.PRIME}) / {U.PRIME}.0::DOUBLE"
+    return f"len(list_filter({[repr(e) for e in U.poisson_edges()]}::DOUBLE[], lambda e: e <= {u}))"
+
+
+def _draws(n: int) -> str:
+    return f"g(draw, a) AS (SELECT 0, {U.FACTOR}::BIGINT UNION ALL SELECT draw + 1, a * {U.FACTOR} % {U.PRIME} FROM g WHERE draw < {n - 1})"
 
 
 SQL = {
@@ -108,17 +106,20 @@ rank() OVER (PARTITION BY arm ORDER BY y_pred) + (count(*) OVER (PARTITION BY ar
     "best_arm_per_fold": f"""{_P}, g AS (SELECT arm, fold, sum(y_true) AS s, count(*) AS c FROM p GROUP BY ALL),
 m AS (SELECT arm, fold, round((sum(s) OVER (PARTITION BY arm) - s) / (sum(c) OVER (PARTITION BY arm) - c), 9) AS m FROM g)
 SELECT fold, arg_min(arm, (-m, arm)) AS best_arm, round(max(m), 6) AS mean_elsewhere FROM m GROUP BY fold""",
-    "bootstrap_hash_ci": f"""{_P}, d AS (SELECT unnest(range({DRAWS})) AS draw), bw AS (SELECT arm, draw, y_true, {_weight("boot", "pos")} AS w FROM p, d),
+    "bootstrap_hash_ci": f"""{_P.replace("WITH", "WITH RECURSIVE", 1)}, {_draws(RESAMPLES)}, bw AS (SELECT arm, draw, y_true, {_weight("boot", "pos")} AS w FROM p, g),
 m AS (SELECT arm, draw, sum(y_true * w) / nullif(sum(w), 0) AS m FROM bw GROUP BY ALL) SELECT arm, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY arm""",
-    "cluster_bootstrap": f"""{_P}, d AS (SELECT unnest(range({DRAWS})) AS draw), s AS (SELECT c_nationkey, sum(y_true) AS s, count(y_true) AS c FROM p JOIN customer ON pos = c_custkey GROUP BY 1),
-bw AS (SELECT draw, s, c, {_weight("cluster", "c_nationkey")} AS w FROM s, d), m AS (SELECT draw, sum(s * w) / nullif(sum(c * w), 0) AS m FROM bw GROUP BY draw)
+    "cluster_bootstrap": f"""{_P.replace("WITH", "WITH RECURSIVE", 1)}, {_draws(CLUSTER_RESAMPLES)}, s AS (SELECT c_nationkey, sum(y_true) AS s, count(y_true) AS c FROM p JOIN customer ON pos = c_custkey GROUP BY 1),
+bw AS (SELECT draw, s, c, {_weight("cluster", "c_nationkey")} AS w FROM s, g), m AS (SELECT draw, sum(s * w) / nullif(sum(c * w), 0) AS m FROM bw GROUP BY draw)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
     "score_histogram": "SELECT least(floor((score - 0.0) / 0.05::DOUBLE) + 1, 20)::BIGINT AS bin, count(*) AS n FROM planner_outcome WHERE score BETWEEN 0 AND 1 GROUP BY 1",
-    "signed_rank": f"""{_P}, a AS (SELECT abs(y_true) AS a, y_true > 0 AS up FROM p WHERE arm = 'delta_{OTHERS[0]}' AND y_true <> 0),
-r AS (SELECT up, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS r FROM a),
-s AS (SELECT count(*) AS n, sum(CASE WHEN up THEN r ELSE 0 END) AS w FROM r)
-SELECT n, round(w, 3) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM s""",
-    "constant_oof": f"""{_P}, t AS (SELECT pos, fold, y_true FROM p WHERE arm = 'delta_{OTHERS[0]}'), g AS (SELECT fold, sum(y_true) AS s, count(*) AS c FROM t GROUP BY 1),
-m AS (SELECT fold, (sum(s) OVER () - s) / (sum(c) OVER () - c) AS m FROM g) SELECT pos AS id, fold, round(y_true, 6) AS y_true, round(m, 6) AS y_pred FROM t JOIN m USING (fold)""",
+    "signed_rank": f"""{_P}, a AS (SELECT arm, abs(y_true) AS a, y_true > 0 AS up FROM p WHERE y_true <> 0),
+r AS (SELECT arm, up, rank() OVER (PARTITION BY arm ORDER BY a) + (count(*) OVER (PARTITION BY arm, a) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY arm, a) AS t FROM a),
+s AS (SELECT arm, count(*) AS n, sum(CASE WHEN up THEN r ELSE 0 END) AS w, sum(t * t - 1) AS ties FROM r GROUP BY arm),
+zs AS (SELECT arm, n, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s),
+t AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)) AS t FROM zs)
+SELECT arm, n, round(w, 3) AS w_plus, round(z, 6) AS z, round(least(1.0::DOUBLE, t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-x * x)), 6) AS p FROM t""",
+    "constant_oof": f"""{_P}, g AS (SELECT arm, fold, sum(y_true) AS s, count(*) AS c FROM p GROUP BY ALL),
+m AS (SELECT arm, fold, (sum(s) OVER (PARTITION BY arm) - s) / (sum(c) OVER (PARTITION BY arm) - c) AS m FROM g)
+SELECT pos AS id, fold, arm AS target, round(y_true, 6) AS y_true, round(m, 6) AS y_pred FROM p JOIN m USING (arm, fold)""",
 }
 QUERIES = {f.__name__: f for f in (pehe_mae, spearman_avg_rank, topk_recall, qini, best_arm_per_fold, bootstrap_hash_ci, cluster_bootstrap, score_histogram, signed_rank, constant_oof, ridge_oof)}

@@ -64,6 +64,11 @@ def _broken() -> DataFrame:
     raise ValueError("a check that can't be built")
 
 
+def _breaks(df: DataFrame) -> DataFrame:
+    """A check that is built but fails while it runs."""
+    return E.holds(df, "breaks", F.assert_true(F.col("o_orderkey") < 0).isNull())
+
+
 def expectation_report(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     c = table(spark, d, "customer", F.col("c_custkey").alias("o_custkey"))
@@ -77,6 +82,7 @@ def expectation_report(spark: SparkSession, d: str) -> DataFrame:
         ("flag domain", lambda: E.in_domain(li, "flag domain", "l_returnflag", ["A", "N"])),
         ("customers known", lambda: E.covered(o, "customers known", c, ["o_custkey"])),
         ("broken", _broken),
+        ("breaks", lambda: _breaks(o)),
     ]
     return E.report(checks, spark).select("position", "check", "status", "violations")
 
@@ -92,7 +98,7 @@ def typed_parse(spark: SparkSession, d: str) -> DataFrame:
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
 _RAW = "CASE WHEN p_partkey % 7 = 0 THEN ' ' WHEN p_partkey % 11 = 0 THEN 'x1' ELSE replace(p_brand, 'Brand#', '') END"
 SQL = {
-    "feature_integration": """WITH p AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS t FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+    "feature_integration": """WITH p AS (SELECT o_custkey AS k, count(*) AS n, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY 1)
 SELECT c_custkey, n AS n_orders, n IS NULL AS n_orders_missing, t AS total, t IS NULL AS total_missing, r_name AS region, r_name IS NULL AS region_missing
 FROM customer LEFT JOIN p ON k = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""",
     "coverage_gaps": f"""WITH o AS (SELECT lower(trim(run_id, {_WS})) AS run, planner FROM planner_outcome WHERE run_id IS NOT NULL)
@@ -112,7 +118,7 @@ UNION ALL SELECT 2, 'orders complete', (SELECT count(*) FROM orders WHERE o_orde
 UNION ALL SELECT 3, 'price positive', (SELECT count(*) FROM orders WHERE NOT coalesce(o_totalprice > 1000, false))
 UNION ALL SELECT 4, 'discount range', (SELECT count(*) FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.05)
 UNION ALL SELECT 5, 'flag domain', (SELECT count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N'))
-UNION ALL SELECT 6, 'customers known', (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 7, 'broken', 1)
+UNION ALL SELECT 6, 'customers known', (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) UNION ALL SELECT 7, 'broken', 1 UNION ALL SELECT 8, 'breaks', 1)
 SELECT position, "check", CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status, violations FROM v""",
     "typed_parse": f"WITH r AS (SELECT {_RAW} AS raw FROM part), v AS (SELECT raw, try_cast(nullif(trim(raw), '') AS INT) AS v FROM r) SELECT count(*) AS n, count(v) AS n_valid, count(*) FILTER (trim(raw) <> '' AND v IS NULL) AS n_invalid, sum(v)::BIGINT AS total FROM v",
 }
