@@ -23,13 +23,15 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sample = table(spark, d, "scenario_sample", "scenario_id", "ingested_at", "deleted_at")
     result = table(spark, d, "run_result", "result_id", "run_id", "failed", "finished_at")
     entity = lambda kind, c: F.concat(F.lit(kind + "|"), norm_key(c))
+    # Results without a run have no failing outcome; there may be many, so they are spread over keys of their own.
+    failed_of = F.coalesce(entity("failed", "run_id"), F.concat(F.lit("no run|"), F.pmod("result_id", F.lit(4096)).cast("string")))
     failing = outcome.where("succeeded = false and scenario_id is not null and run_id is not null").select(norm_key("run_id").alias("run"), norm_key("scenario_id").alias("scenario"))
     failing = failing.distinct().groupBy("run").count()
     keys = (
         sample.select(entity("scenario", "scenario_id").alias("entity"), micros("ingested_at").alias("a"), (F.coalesce(micros("deleted_at"), F.lit(LONG_MAX)) - 1).alias("z"))
         # A run exists at every time; any number of failures from none up to those counted exists.
         .unionByName(result.select(entity("run", "run_id").alias("entity"), F.lit(LONG_MIN).alias("a"), F.lit(LONG_MAX).alias("z")).where("entity is not null").distinct())
-        .unionByName(result.select(F.coalesce(entity("failed", "run_id"), F.lit("no run")).alias("entity"), F.lit(LONG_MIN).alias("a"), F.lit(0).cast("long").alias("z")).distinct())
+        .unionByName(result.select(failed_of.alias("entity"), F.lit(LONG_MIN).alias("a"), F.lit(0).cast("long").alias("z")).distinct())
         .unionByName(failing.select(F.concat(F.lit("failed|"), "run").alias("entity"), F.lit(LONG_MIN).alias("a"), F.col("count").alias("z")))
     )
     at = micros("recorded_at")
@@ -43,7 +45,7 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         .where("entity is not null")
         .unionByName(
             result.where("failed is not null").select(
-                F.lit("run_result").alias("src_table"), F.col("result_id").alias("src_id"), F.lit("failed").alias("ref_field"), F.coalesce(entity("failed", "run_id"), F.lit("no run")).alias("entity"), F.col("failed").alias("key"), F.col("finished_at").alias("at")
+                F.lit("run_result").alias("src_table"), F.col("result_id").alias("src_id"), F.lit("failed").alias("ref_field"), failed_of.alias("entity"), F.col("failed").alias("key"), F.col("finished_at").alias("at")
             )
         )
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..operators.intervals import IntervalMap
 def stream_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     """A stream of the map of every entity that a micro-batch changed: (entity, version, starts, ends).
 
-    The state of a key is its ordered map of disjoint intervals; each row is inserted by binary search. The row of the
+    The state of a key is its ordered map of disjoint intervals; rows are inserted in batches by binary search. The row of the
     greatest version is the entity's current map, the gaps are what lies between. Use in update mode. Rows with a null
     or end <= start are ignored.
     """
@@ -25,10 +26,9 @@ def stream_periods(df: DataFrame, entity: str, start: str, end: str) -> DataFram
     def insert(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         version, starts, ends = state.get if state.exists else (0, [], [])
         held = IntervalMap()
-        held.starts, held.ends = list(starts), list(ends)
+        held.insert(np.array(starts, np.int64), np.array(ends, np.int64))
         for p in parts:
-            for a, z in zip(p["s"].tolist(), p["t"].tolist()):
-                held.add(a, z)
+            held.insert(p["s"].to_numpy(), p["t"].to_numpy())
         state.update((version + 1, held.starts, held.ends))
         yield pd.DataFrame({entity: [key[0]], "version": [version + 1], "starts": [held.starts], "ends": [held.ends]})
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -51,6 +52,19 @@ def test_interval_map_keeps_order_and_gaps():
     assert (m.starts, m.ends, m.gaps()) == ([1, 5], [3, 12], [(3, 5)])
 
 
+@pytest.mark.parametrize("join", [0, 1])
+def test_interval_map_takes_batches_in_any_order(join):
+    rng = random.Random(join)
+    for _ in range(300):
+        rows = [(s, s + rng.randrange(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randrange(30)))]
+        m, left = IntervalMap(join), list(rows)
+        while left:
+            n = rng.randrange(1, 7)
+            m.insert(np.array([s for s, _ in left[:n]]), np.array([t for _, t in left[:n]]))
+            left = left[n:]
+        assert list(zip(m.starts, m.ends)) == [(s, t) for _, k, s, t in merged([("e", *r) for r in rows], join) if k == "period"]
+
+
 def test_periods_of_an_empty_table_and_clashing_names(spark):
     empty = spark.createDataFrame([], "e string, b long, s long, t long, kind string")
     assert merge_intervals(empty, "e", "s", "t").count() == 0
