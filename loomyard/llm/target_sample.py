@@ -1,32 +1,26 @@
 """Sample matching target category proportions (problem 5).
 
-Method: one pass keeps mergeable reservoirs per category (the keys of smallest hash, a uniform draw without replacement;
-the union of two reservoirs, cut again, is the reservoir of the union). After the final counts every reservoir is
-trimmed uniformly, to the smallest hashes, down to its feasible quota; categories with fewer keys than their quota are
-reported as exhausted.
-
-Scale: a reservoir is cut in each input partition at the quota that the table's row count allows at most, before
-anything is shuffled; the final cut uses bucketed ranks, so a category with a third of all rows is never in one task.
+Method: one pass over the rows keeps a mergeable reservoir per category: the distinct keys, filed by hash in slots of the
+hash range, with their counts. Two reservoirs merge slot by slot. After the final counts every reservoir is trimmed
+uniformly to its feasible quota: the slots below the quota are kept whole, the one that holds the quota's last key is cut
+by rank, the rest is dropped. Categories with fewer keys than their quota are reported as exhausted.
+
+Scale: the table is read once, and its distinct keys are written to the shared folder. Slots are SLOTS per category, so
+one with a third of all rows is never in one task, and the rows beyond the quota are dropped before they are ranked.
+Slot counts are pre-aggregated. Nothing but the size of the target table reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_hex, norm_category, norm_key
-from ..operators.ranking import ranked_by_hash
+from ..session import cut
 
-
-def quota_of(total: int, permille: int, least: int) -> int:
-    """greatest(least, (S * permille + 500) div 1000) with S = total div 5."""
-    return max(least, (total // 5 * permille + 500) // 1000)
+CATEGORY = ["source_city", "scenario_type"]
+#: Hex digits of the hash that name a slot: 4,096 slots.
+DIGITS = 3
 
 
 def normal_targets(targets: DataFrame) -> DataFrame:
@@ -42,69 +36,39 @@ def normal_rows(rows: DataFrame) -> DataFrame:
     return r.where("source_city is not null and scenario_type is not null and scenario_id is not null")
 
 
-def _reservoirs(caps: dict[tuple[str, str], int]):
-    """Per partition and category the distinct keys of smallest hash, as many as the category's cap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
-        size: dict[tuple[str, str], int] = defaultdict(int)
-
-        def trim(k: tuple[str, str]) -> None:
-            one = np.unique(np.concatenate(held[k]))[: caps.get(k, 0)]  # texts of hash and key: sorted by hash
-            held[k], size[k] = [one], len(one)
-
-        for batch in batches:
-            both = pc.binary_join_element_wise(batch.column("key_hash"), batch.column("scenario_id"), "\x1f").to_numpy(zero_copy_only=False)
-            pair = pc.binary_join_element_wise(batch.column("source_city"), batch.column("scenario_type"), "\x1f").dictionary_encode()
-            codes = pair.indices.to_numpy()
-            order = np.argsort(codes, kind="stable")
-            cuts = np.searchsorted(codes[order], np.arange(len(pair.dictionary) + 1))
-            for i, name in enumerate(pair.dictionary.to_pylist()):
-                k = tuple(name.split("\x1f"))
-                held[k].append(both[order[cuts[i] : cuts[i + 1]]])
-                size[k] += cuts[i + 1] - cuts[i]
-                if size[k] > 2 * caps.get(k, 0) + 4096:
-                    trim(k)
-        for k in list(held):
-            trim(k)
-            if size[k]:
-                h, _, s = zip(*(x.partition("\x1f") for x in held[k][0]))
-                yield pa.RecordBatch.from_pydict({"source_city": [k[0]] * len(s), "scenario_type": [k[1]] * len(s), "scenario_id": list(s), "key_hash": list(h)})
-
-    return run
+def reservoirs(rows: DataFrame, salt: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, number of distinct keys over all categories). A key is filed in each category it has, once."""
+    ids = rows.groupBy("scenario_id").agg(F.collect_set(F.struct(*CATEGORY)).alias("of"))
+    ids = cut(ids.withColumn("key_hash", hash_hex(salt, F.col("scenario_id"))))
+    keys = ids.select("scenario_id", "key_hash", F.explode("of").alias("c")).select("c.*", "scenario_id", "key_hash")
+    return keys.withColumn("slot", F.substring("key_hash", 1, DIGITS)), ids.agg(F.count("*").alias("total"))
 
 
 def target_sample(rows: DataFrame, targets: DataFrame, *, salt: str = "target-sample") -> tuple[DataFrame, DataFrame]:
     """(sample, report). The sample has (source_city, scenario_type, scenario_id, rank), each id once per category.
 
     The report has one row per target: target_permille, min_rows, available (distinct ids), quota, drawn, shortfall
-    and exhausted (fewer ids than the quota). Categories without a target aren't drawn from. Repeated rows count once.
-    Empty tables give an empty sample; targets then have quota min_rows. The target table is read to the driver: its
-    size is checked, at most 100,000 rows.
+    and exhausted (fewer ids than the quota). The quota is greatest(min_rows, (S * permille + 500) div 1000) with S a fifth
+    of all distinct ids. Categories without a target aren't drawn from. Repeated rows count once. Empty tables give an
+    empty sample; targets then have quota min_rows. The target table is broadcast: at most 100,000 rows (checked).
     """
     t = normal_targets(targets)
-    wanted = t.limit(100_001).collect()
-    if len(wanted) > 100_000:
+    if t.limit(100_001).count() > 100_000:
         raise ValueError("more than 100,000 targets; draw them in blocks")
-    r = normal_rows(rows)
-    most = rows.count()  # no more ids than rows: an upper bound of every quota, from the files' footers
-    caps = {(x.source_city, x.scenario_type): quota_of(most, x.target_permille, x.min_rows) for x in wanted}
-    ids = r.groupBy("scenario_id").agg(F.collect_set(F.struct("source_city", "scenario_type")).alias("of"))
-    counts = ids.select(F.explode(F.concat("of", F.array(F.struct(F.lit(None).cast("string").alias("source_city"), F.lit(None).cast("string").alias("scenario_type"))))).alias("x")).groupBy("x.source_city", "x.scenario_type").count()
-    by = {(x.source_city, x.scenario_type): x["count"] for x in counts.where("source_city is null or scenario_type is not null").join(F.broadcast(t.select("source_city", "scenario_type").withColumn("wanted", F.lit(1))), ["source_city", "scenario_type"], "left").where("wanted = 1 or source_city is null").collect()}
-    total = by.get((None, None), 0)
-    spark = rows.sparkSession
-    plan = [(x.source_city, x.scenario_type, x.target_permille, x.min_rows, by.get((x.source_city, x.scenario_type), 0), quota_of(total, x.target_permille, x.min_rows)) for x in wanted]
-    quotas = spark.createDataFrame(plan, "source_city string, scenario_type string, target_permille long, min_rows long, available long, quota long")
-    pool = r.withColumn("key_hash", hash_hex(salt, F.col("scenario_id"))).mapInArrow(_reservoirs(caps), "source_city string, scenario_type string, scenario_id string, key_hash string").distinct()
-    # The merged reservoirs hold at least the cap, or all there is: one that holds less than its quota is exhausted.
-    held = pool.groupBy("source_city", "scenario_type").agg(F.count("*").alias("held"))
-    report = quotas.join(held, ["source_city", "scenario_type"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    report = report.select("source_city", "scenario_type", "target_permille", "min_rows", "available", "quota", F.least("held", "quota").alias("drawn"), F.greatest(F.lit(0), F.col("quota") - F.col("held")).alias("shortfall"), (F.col("held") < F.col("quota")).alias("exhausted"))
-    ranked = ranked_by_hash(pool, ["source_city", "scenario_type"], "key_hash", ["scenario_id"])
-    few = F.broadcast(quotas.select("source_city", "scenario_type", "quota"))  # at most 100,000 rows
-    sample = ranked.join(few, ["source_city", "scenario_type"]).where("rank <= quota").drop("quota", "key_hash")
-    return sample, report
+    keys, total = reservoirs(normal_rows(rows), salt)
+    quota = F.greatest("min_rows", F.expr("(total div 5 * target_permille + 500) div 1000"))
+    quotas = t.crossJoin(F.broadcast(total)).withColumn("quota", quota).drop("total")  # total is one row
+    slots = keys.groupBy(*CATEGORY, "slot").agg(F.count("*").alias("n"))
+    slots = slots.join(F.broadcast(quotas), CATEGORY)
+    before = Window.partitionBy(*CATEGORY).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    held = slots.groupBy(*CATEGORY).agg(F.sum("n").alias("available"), F.sum(F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("before")))).alias("drawn"))
+    report = quotas.join(held, CATEGORY, "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    report = report.select(*CATEGORY, "target_permille", "min_rows", "available", "quota", "drawn", (F.col("quota") - F.col("drawn")).alias("shortfall"), (F.col("drawn") < F.col("quota")).alias("exhausted"))
+    kept = slots.where("before < quota").select(*CATEGORY, "slot", "before", "quota")
+    inner = Window.partitionBy(*CATEGORY, "slot").orderBy("key_hash", "scenario_id")
+    ranked = keys.join(kept, [*CATEGORY, "slot"]).withColumn("rank", F.col("before") + F.row_number().over(inner))
+    return ranked.where("rank <= quota").select(*CATEGORY, "scenario_id", "rank"), report
 
 
 def noted_shortfalls(groups: DataFrame, cut: str = "5") -> DataFrame:
