@@ -10,10 +10,11 @@ in lower case, a run of one sign is one token. The positive class is smoothed to
 seen in it counts against it, by a bounded amount. That keeps sentences in which a court reports such words as evidence
 out: most of what surrounds the words speaks for the court.
 
-Trusted records: the list TRUSTED (general wordings of error pages, script notices, fillers and placeholder forms), and of
-the sample those records that are too short to be a decision, and slots of an unmistakable template syntax or with a null
-literal outside quotation marks.
-The model is fitted on a bounded sample (sample_docs, by hash of the id); every record is scored, on its whole text.
+Trusted records: above all, those records that are too short to be a decision, and slots of an unmistakable template syntax
+or with a null literal outside quotation marks; the wordings are learned from these. A short list of standard texts
+(TRUSTED_TEXTS: names of status codes, the classical filler, usual prompts) sets off what too few records show.
+The model is fitted on bounded samples by hash of the id: sample_docs records of all and sample_short short ones. Every
+record is scored, on its whole text.
 An exact check follows: a null literal that stands in quotation marks is quoted, not left over.
 """
 
@@ -27,28 +28,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .textvec import LETTER, NUMBER, OTHER, SPACE, codepoints, hash_spans, mix, run_starts, slices
 
 BITS = 20
 NUMBER_HASH, BEGIN, END = np.uint64(0x1234567), np.uint64(0x89ABCDE), np.uint64(0xFEDCBA9)
-# Trusted records. Wordings and forms in general use.
+# Trusted records. Names of the HTTP status codes and their usual renderings, the requirement of scripts, the
+# classical filler text, and the usual prompts of forms; in the languages of the corpus.
 TRUSTED_TEXTS = (
-    "404 Not Found", "403 Forbidden", "HTTP 403 - Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable",
-    "504 Gateway Timeout", "Error 404", "Page not found", "The page you asked for does not exist.", "The document could not be loaded.",
-    "Service temporarily unavailable", "Access denied", "Your session has expired", "Too many requests", "Connection timed out",
-    "Please try again later.", "Please go back and try again in a few minutes.", "Sign in to read the full text.", "Return to the list.",
-    "The requested document has been moved or does not exist.", "If this continues, contact us and quote code 12345.", "Reference 12345.",
-    "The server did not answer in 3000 ms.", "Please enable JavaScript to view this page.", "You need to allow JavaScript and cookies to continue.",
-    "JavaScript is required.", "Loading... (requires JavaScript)", "Your browser does not support scripts.", "This page needs scripts. Turn them on and reload.",
-    "Scripting is switched off in your browser; the text cannot be shown.", "The viewer failed to start.",
-    "Seite nicht gefunden", "Fehler 404", "Fehler 500", "Zugriff verweigert", "Ihre Sitzung ist abgelaufen", "Bitte versuchen Sie es später erneut.",
-    "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Der Dienst ist vorübergehend nicht verfügbar", "Das Dokument konnte nicht geladen werden.",
-    "Page introuvable", "Erreur 404", "Erreur 503", "Accès refusé", "Votre session a expiré", "Veuillez réessayer plus tard.", "Document indisponible",
-    "Veuillez activer JavaScript pour afficher cette page.", "Service momentanément indisponible", "Retour à la liste.",
+    "400 Bad Request", "401 Unauthorized", "403 Forbidden", "404 Not Found", "408 Request Timeout", "410 Gone", "429 Too Many Requests",
+    "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout",
+    "Error 404", "Page not found", "Access denied", "Service unavailable", "Connection timed out", "Session expired",
+    "Fehler 404", "Seite nicht gefunden", "Zugriff verweigert", "Dienst nicht verfügbar", "Zeitüberschreitung der Verbindung", "Sitzung abgelaufen",
+    "Erreur 404", "Page introuvable", "Accès refusé", "Service indisponible", "Délai de connexion dépassé", "Session expirée",
+    "Please enable JavaScript.", "JavaScript is required.", "Bitte aktivieren Sie JavaScript.", "JavaScript ist erforderlich.", "Veuillez activer JavaScript.", "JavaScript est requis.",
+    "Please try again later.", "Bitte versuchen Sie es später erneut.", "Veuillez réessayer plus tard.",
     "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
-    "Text to follow.", "Text to follow. Text to follow.", "Sample text goes here.", "Replace this paragraph before publication.", "This is dummy content.",
-    "This is placeholder text.", "Type your text here.", "asdf asdf asdf", "test test test", "Hier steht Ihr Text.", "Bitte ersetzen.", "Blindtext", "Zurück zur Liste.", "Die angeforderte Seite ist nicht mehr vorhanden.", "La page demandée n'existe plus à cette adresse.", "Text einfügen.",
-    "Platzhalter", "Texte d'exemple à remplacer.", "Texte à venir.", "[Body text]",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "Placeholder text.", "Sample text.", "Dummy text.", "Enter text here.", "Type your text here.", "Insert text here.", "Text to follow.",
+    "Platzhalter", "Mustertext", "Blindtext", "Text hier eingeben.", "Text folgt.", "Texte de remplissage", "Saisir le texte ici.", "Insérer le texte ici.", "Texte à venir.",
 )
 TRUSTED_SLOTS = (
     "{{ name }}", "{{name}}", "${name}", "${a.b}", "<%= name %>", "%(name)s", "%%NAME%%", "<<NAME>>", "[[name]]", "&&name&&", "@@name@@", "#{name}", "{0}",
@@ -220,21 +220,28 @@ class Model:
         return total + np.where(p.slot, self.prior[1], self.prior[0])
 
 
-def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pull: float = 0.01, most: float = 0.02, common: float = 0.01) -> Model:
+def learn(texts: list[str | None], whole: list[bool] | None = None, *, rounds: int = 4, short_words: int = 60, pull: float = 0.01, most: float = 0.02, common: float = 0.01) -> Model:
     """Expectation-maximization from trusted records; `pull` is the background's weight in the positive class, `most` the
     greatest prior share of residue among the passages. A feature that stands in more than the share `common` of the long
     records may be a heading of sound ones, which short records carry too. It speaks for residue if a wording of the list or a
     trusted slot has it, or if whole short records consist of such features and hold it more often than long ones do: what
-    stands in a record regardless of its length makes up no greater share of the short ones.
+    stands in a record regardless of its length makes up no greater share of the short ones. `whole` tells which texts are
+    whole records (all, if not given): a part of a longer one is never a short record.
     """
     seeds = [*TRUSTED_TEXTS, *TRUSTED_SLOTS * SLOT_WEIGHT]
     n = 1 << BITS
+    whole_of = np.ones(len(texts), bool) if whole is None else np.asarray(whole, bool)
+    at = 0
     parts, df, n_long, n_short, n_passages, n_docs = [], np.zeros(n, np.int64), 0, 0, 0, 0
     for i, chunk in enumerate([seeds, *_chunks(texts)]):  # a slice at a time: only the features are kept
         p = passages(chunk)
         f, which = features(p)
         given = np.full(len(p.begin), i == 0)
-        short = (p.words[p.doc] > 0) & (p.words[p.doc] < short_words) & ~given & ~p.slot
+        is_short = (p.words > 0) & (p.words < short_words)
+        if i:
+            is_short &= whole_of[at : at + len(chunk)]
+            at += len(chunk)
+        short = is_short[p.doc] & ~given & ~p.slot
         is_slot_seed = (p.doc >= len(TRUSTED_TEXTS)) & given
         positive = (given & (p.slot == is_slot_seed)) | short | (p.trusted & ~given)
         take = (~given | positive) & ~p.quoted
@@ -242,7 +249,7 @@ def learn(texts: list[str | None], *, rounds: int = 4, short_words: int = 60, pu
             of_long = (p.words >= short_words)[p.doc[which]]
             df += np.bincount(np.unique(p.doc[which[of_long]] * n + f[of_long]) % n, minlength=n)
             n_long += int((p.words >= short_words).sum())
-            n_short += int(((p.words > 0) & (p.words < short_words)).sum())
+            n_short += int(is_short.sum())
         usable = take[which]
         parts.append((f[usable].astype(np.int32), (which[usable] + n_passages).astype(np.int32), p.slot, given, positive, take, short, p.doc + n_docs))
         n_passages += len(p.begin)
@@ -318,17 +325,31 @@ def records(texts: list[str | None], model: Model, threshold: float = 0.0) -> tu
     return best, np.bincount(p.doc[score > threshold], minlength=n), np.bincount(p.doc, minlength=n)
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 2_000, longest: int = 200_000, salt: int = 29) -> Model:
-    """The model from about sample_docs records of at most `longest` characters, chosen by the hash of their id (the same on every run)."""
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_docs: int = 2_000, sample_short: int = 2_000, short_chars: int = 1_000, part_chars: int = 200_000, salt: int = 29) -> Model:
+    """The model from about sample_docs records of any length and sample_short records of at most short_chars characters,
+    chosen by the hash of their id (the same on every run). Long records are taken in parts of part_chars, at most
+    sample_docs parts in all. The texts are read once; without any text the list alone is learned.
+    """
     n = docs.count()
-    rate = min(1.0, sample_docs / max(n, 1))
-    near = F.pmod(F.xxhash64(F.col(doc_id), F.lit(salt)), F.lit(1_000_000)) < int(rate * 1_000_000)
-    rows = docs.where(near & F.col(text).isNotNull() & (F.length(text) <= longest)).select(doc_id, text).orderBy(doc_id).collect()
-    return learn([r[1] for r in rows])
+    h = F.xxhash64(F.col(doc_id), F.lit(salt))
+    # The least hashes: a share of the range of 64 bits, a third more than needed; all of a table not much larger.
+    share = min(1.0, 4 / 3 * sample_docs / max(n, 1))
+    near = h < F.lit(int(-(2**63) + share * (2**64 - 1))) if share < 1 else F.lit(True)
+    short = F.length(text) <= short_chars
+    rows = docs.where(F.col(text).isNotNull() & (near | short)).select(h.alias("h"), near.alias("near"), short.alias("short"), F.col(text).cast("string").alias("text"))
+    rows = cut(rows)
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.length("text") - 1, F.lit(0)).cast("long"), F.lit(part_chars).cast("long"))
+    parts = rows.where("near").withColumn("at", F.explode(starts)).select(F.xxhash64("h", "at").alias("k"), F.expr(f"substring(text, int(at) + 1, {part_chars})").alias("part"), (F.length("text") <= part_chars).alias("whole"))
+    some = parts.orderBy("k").limit(sample_docs).collect()
+    if n and not some and not rows.isEmpty():
+        raise RuntimeError("the sample for the fit is empty")
+    few = rows.where("short and not near").orderBy("h", "text").limit(sample_short).collect()
+    texts = sorted((r["part"], r["whole"]) for r in some) + [(r["text"], True) for r in few]
+    return learn([t for t, _ in texts], [w for _, w in texts])
 
 
 def residue(docs: DataFrame, model: Model | None = None, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.0) -> DataFrame:
-    """(doc_id, score, residue_passages, passages) of the records that hold residue.
+    """(doc_id, score, residue_passages, passages) of the records that hold residue. Without a model one is fitted first.
 
     Null and empty texts hold none. Repeated records are each reported. Texts are taken whole. Other columns are ignored.
     """

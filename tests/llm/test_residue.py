@@ -34,3 +34,27 @@ def test_a_hot_template_slot_is_found():
     texts = [x + " The appellant &&appellant_reference&& appeared." if k % 3 == 0 else x for k, x in enumerate(texts)]
     _, bad, _ = residue.records(texts, residue.learn(texts))
     assert [k for k in range(len(texts)) if bad[k] > 0] == list(range(0, 150, 3))
+
+
+def test_wordings_of_no_list_are_learned_from_short_records():
+    """Forty notices that neither the list nor any long record of the fit holds; each is a short record twice. Measured on
+    other long records: recall and precision at least 0.9."""
+    rng = random.Random(8)
+    notices = [f"The {a} of {b} could not be {c}, so nothing is shown." for a, b, c in zip(prose(40, 70), prose(40, 71), prose(40, 72))]
+    decision = lambda k: ". ".join(" ".join(prose(14, 7000 + 20 * k + j)) for j in range(12)) + "."
+    model = residue.learn([decision(k) for k in range(250)] + [x for x in notices for _ in range(2)])
+    held = [decision(2000 + k) for k in range(160)]
+    texts = [f"{x}\n\n{notices[k // 2]}\n\n{decision(4000 + k)}" if k < 80 else x for k, x in enumerate(held)]
+    rng.shuffle(texts)
+    _, bad, _ = residue.records(texts, model)
+    found, true = {i for i in range(160) if bad[i] > 0}, {i for i, x in enumerate(texts) if any(n in x for n in notices)}
+    assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.9 * len(found)
+
+
+def test_the_fit_takes_long_records_in_parts_and_short_ones_besides(spark):
+    long = ". ".join(" ".join(prose(14, 8000 + j)) for j in range(400)) + "."
+    rows = [(i, long) for i in range(6)] + [(100 + i, NOTICE) for i in range(4)] + [(200, None), (201, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = residue.fit(d, sample_docs=3, sample_short=4, short_chars=200, part_chars=5_000)
+    assert {r.doc_id for r in residue.residue(d, model).collect()} == {100, 101, 102, 103}
+    assert residue.residue(d.limit(0)).count() == 0
