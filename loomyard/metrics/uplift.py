@@ -70,14 +70,6 @@ def qini(df: DataFrame, group: list[str]) -> DataFrame:
     return o.groupBy(*group).agg(F.when(~flat & (best > 0), F.try_divide(area("by_pred"), best)).alias("qini"))
 
 
-def gain_curve(df: DataFrame, group: list[str]) -> DataFrame:
-    """(group, pos, gain): cumulative y_true along falling y_pred."""
-    from pyspark.sql import Window
-
-    o = positions(df, group, [F.col("y_pred").desc(), F.col("pos")], name="step")
-    return o.select(*group, "step", F.sum("y_true").over(Window.partitionBy(*group).orderBy("step")).alias("gain"))
-
-
 def poisson_edges() -> list[float]:
     """Cumulated Poisson(1) probabilities, as far as 31 bits can tell them apart."""
     edges, total, p = [], 0.0, math.exp(-1.0)

@@ -28,6 +28,11 @@ def holds(df: DataFrame, name: str, condition: Column) -> DataFrame:
     return _row(df, name, F.count(F.when(~F.coalesce(condition, F.lit(False)), 1)))
 
 
+def count_rows(df: DataFrame, name: str) -> DataFrame:
+    """Every row is a violation."""
+    return _row(df, name, F.count("*"))
+
+
 def in_range(df: DataFrame, name: str, column: str, low: float, high: float) -> DataFrame:
     """Non-null values outside the closed range; NaN is outside."""
     return _row(df, name, F.count(F.when(~F.col(column).between(low, high) | F.isnan(F.col(column).cast("double")), 1)))

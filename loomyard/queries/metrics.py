@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..metrics import evaluation as V
 from ..metrics import uplift as U
 from ..models import oof
 from ..session import cut
@@ -60,6 +61,60 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return U.cluster_bootstrap(rows, "c_nationkey", "y_true", draws=CLUSTER_RESAMPLES, salt="cluster").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
+def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
+    out = V.metric_bundle(predictions(spark, d), ["arm"])
+    return out.select("arm", "n", *[F.round(c, 6).alias(c) for c in ("pehe", "mae", "spearman", "topk_10", "topk_25", "qini")])
+
+
+def gain_curve(spark: SparkSession, d: str) -> DataFrame:
+    exact = predictions(spark, d).withColumn("y", F.col("y_true").cast("decimal(18,9)"))
+    out = V.running_total(exact, ["arm"], F.col("y_pred").desc(), "y", "gain")
+    return out.select("arm", "step", F.col("gain").cast("double").alias("gain"))
+
+
+def segment_errors(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer", "c_custkey", "c_mktsegment")
+    out = V.group_errors(predictions(spark, d).join(c, F.col("pos") == F.col("c_custkey")), ["arm"], "c_mktsegment")
+    return out.select("arm", "c_mktsegment", "n", F.round("pehe", 6).alias("pehe"), F.round("bias", 6).alias("bias"))
+
+
+def largest_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The five largest errors over all arms."""
+    p = predictions(spark, d).withColumn("y_pred", F.round("y_pred", 9)).withColumn("y_true", F.round("y_true", 9))
+    return V.largest_errors(p, 5, [f"delta_{a}" for a in OTHERS]).select("arm", "pos", F.round("error", 9).alias("error"))
+
+
+def card_differences(spark: SparkSession, d: str) -> DataFrame:
+    """The report card of folds 0 to 2 against that of all: metrics that differ by more than a thousandth."""
+    p = predictions(spark, d)
+    card = lambda df: df.groupBy("arm").agg(F.round(U.pehe(), 9).alias("pehe"), F.round(U.mae(), 9).alias("mae"), F.count("*").cast("double").alias("n"))
+    out = V.card_differences(card(p.where("fold < 3")), card(p), ["arm"], ["pehe", "mae", "n"], 1e-3)
+    return out.select("arm", "metric", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"))
+
+
+def model_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Per arm the better of the mean elsewhere and the stand-in predictor, ties to the first."""
+    p = predictions(spark, d)
+    per = p.groupBy("arm", "fold").agg(F.sum("y_true").alias("s"), F.count("*").alias("c"))
+    w = Window.partitionBy("arm")
+    mean = per.select("arm", "fold", ((F.sum("s").over(w) - F.col("s")) / (F.sum("c").over(w) - F.col("c"))).alias("m"))
+    both = p.select("arm", F.lit("stand_in").alias("model"), "y_true", "y_pred").unionByName(p.join(mean, ["arm", "fold"]).select("arm", F.lit("constant").alias("model"), "y_true", F.col("m").alias("y_pred")))
+    return V.choose_model(both, "arm", "model", ["constant", "stand_in"]).select("arm", "model", F.round("pehe", 6).alias("pehe"))
+
+
+def variance_test(spark: SparkSession, d: str) -> DataFrame:
+    """Do scenario types differ in their mean outcome? Tested against brute force."""
+    return V.permutation_test(table(spark, d, "planner_outcome", "scenario_type", "score"), "scenario_type", "score", most_rows=1_000_000)
+
+
+def ridge_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Permutation importance of the ridge features over the folds; tested on a planted effect."""
+    c = table(spark, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
+    lab = cut(arm_labels(spark, d).withColumn("fold", F.col("o_custkey") % 5).join(c, F.col("o_custkey") == F.col("c_custkey")))
+    per = oof.fold_importance(lab, f"delta_{OTHERS[0]}", numeric=["c_acctbal", "c_nationkey"], categorical=["c_mktsegment"], row="o_custkey", fold="fold")
+    return V.leading_features(per, 10, ["c_acctbal", "c_nationkey", "c_mktsegment"])
+
+
 def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     return U.histogram(table(spark, d, "planner_outcome", "score"), "score", 0.0, 1.0, 20)
 
@@ -111,6 +166,18 @@ m AS (SELECT arm, draw, sum(y_true * w) / nullif(sum(w), 0) AS m FROM bw GROUP B
     "cluster_bootstrap": f"""{_P.replace("WITH", "WITH RECURSIVE", 1)}, {_draws(CLUSTER_RESAMPLES)}, s AS (SELECT c_nationkey, sum(y_true) AS s, count(y_true) AS c FROM p JOIN customer ON pos = c_custkey GROUP BY 1),
 bw AS (SELECT draw, s, c, {_weight("cluster", "c_nationkey")} AS w FROM s, g), m AS (SELECT draw, sum(s * w) / nullif(sum(c * w), 0) AS m FROM bw GROUP BY draw)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""",
+    "metric_bundle": f"""{_P}, r AS (SELECT arm, rank() OVER (PARTITION BY arm ORDER BY y_true) + (count(*) OVER (PARTITION BY arm, y_true) - 1) / 2.0::DOUBLE AS a,
+rank() OVER (PARTITION BY arm ORDER BY y_pred) + (count(*) OVER (PARTITION BY arm, y_pred) - 1) / 2.0::DOUBLE AS b FROM p), sp AS (SELECT arm, corr(a, b) AS spearman FROM r GROUP BY arm),
+m AS (SELECT arm, count(*) AS n, sqrt(avg((y_pred - y_true) ** 2)) AS pehe, avg(abs(y_pred - y_true)) AS mae, {", ".join(f"count(*) FILTER (bt <= ceil(round(n * {s}, 9)) AND bp <= ceil(round(n * {s}, 9))) / max(ceil(round(n * {s}, 9))) AS topk_{round(s * 100)}" for s in (0.1, 0.25))},
+(sum(y_true * (n - bp + 0.5)) - max(n) * sum(y_true) / 2) / (sum(y_true * (n - bt + 0.5)) - max(n) * sum(y_true) / 2) AS qini FROM k GROUP BY arm)
+SELECT arm, n, {", ".join(f"round({c}, 6) AS {c}" for c in ("pehe", "mae", "spearman", "topk_10", "topk_25", "qini"))} FROM m JOIN sp USING (arm)""",
+    "gain_curve": f"{_P} SELECT arm, bp AS step, (sum(y_true::DECIMAL(18, 9)) OVER (PARTITION BY arm ORDER BY bp))::DOUBLE AS gain FROM k",
+    "segment_errors": f"{_P} SELECT arm, c_mktsegment, count(*) AS n, round(sqrt(avg((y_pred - y_true) ** 2)), 6) AS pehe, round(avg(y_pred - y_true), 6) AS bias FROM p JOIN customer ON pos = c_custkey GROUP BY ALL",
+    "largest_errors": f"{_P} SELECT arm, pos, round(abs(round(y_pred, 9) - round(y_true, 9)), 9) AS error FROM p ORDER BY abs(round(y_pred, 9) - round(y_true, 9)) DESC, list_position({[f'delta_{a}' for a in OTHERS]}, arm), pos LIMIT 5",
+    "card_differences": f"""{_P}, uc AS ({" UNION ALL ".join(f"SELECT arm, '{m}' AS metric, {e.format(f=' FILTER (fold < 3)')} AS l, {e.format(f='')} AS r FROM p GROUP BY arm" for m, e in (("pehe", "round(sqrt(avg((y_pred - y_true) ** 2){f}), 9)"), ("mae", "round(avg(abs(y_pred - y_true)){f}, 9)"), ("n", "count(*){f}::DOUBLE")))})
+SELECT arm, metric, round(l, 6) AS "left", round(r, 6) AS "right" FROM uc WHERE abs(l - r) > 1e-3""",
+    "model_choice": f"""{_P}, g AS (SELECT arm, fold, sum(y_true) AS s, count(*) AS c FROM p GROUP BY ALL), m AS (SELECT arm, fold, (sum(s) OVER (PARTITION BY arm) - s) / (sum(c) OVER (PARTITION BY arm) - c) AS m FROM g),
+e AS (SELECT arm, round(sqrt(avg((m - y_true) ** 2)), 9) AS a, round(sqrt(avg((y_pred - y_true) ** 2)), 9) AS b FROM p JOIN m USING (arm, fold) GROUP BY arm) SELECT arm, CASE WHEN a <= b THEN 'constant' ELSE 'stand_in' END AS model, round(least(a, b), 6) AS pehe FROM e""",
     "score_histogram": "SELECT least(floor((score - 0.0) / 0.05::DOUBLE) + 1, 20)::BIGINT AS bin, count(*) AS n FROM planner_outcome WHERE score BETWEEN 0 AND 1 GROUP BY 1",
     "signed_rank": f"""{_P}, a AS (SELECT arm, abs(y_true) AS a, y_true > 0 AS up FROM p WHERE y_true <> 0),
 r AS (SELECT arm, up, rank() OVER (PARTITION BY arm ORDER BY a) + (count(*) OVER (PARTITION BY arm, a) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY arm, a) AS t FROM a),
@@ -122,4 +189,4 @@ SELECT arm, n, round(w, 3) AS w_plus, round(z, 6) AS z, round(least(1.0::DOUBLE,
 m AS (SELECT arm, fold, (sum(s) OVER (PARTITION BY arm) - s) / (sum(c) OVER (PARTITION BY arm) - c) AS m FROM g)
 SELECT pos AS id, fold, arm AS target, round(y_true, 6) AS y_true, round(m, 6) AS y_pred FROM p JOIN m USING (arm, fold)""",
 }
-QUERIES = {f.__name__: f for f in (pehe_mae, spearman_avg_rank, topk_recall, qini, best_arm_per_fold, bootstrap_hash_ci, cluster_bootstrap, score_histogram, signed_rank, constant_oof, ridge_oof)}
+QUERIES = {f.__name__: f for f in (pehe_mae, spearman_avg_rank, topk_recall, qini, best_arm_per_fold, bootstrap_hash_ci, cluster_bootstrap, metric_bundle, gain_curve, segment_errors, largest_errors, card_differences, model_choice, variance_test, ridge_importance, score_histogram, signed_rank, constant_oof, ridge_oof)}

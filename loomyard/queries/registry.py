@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("problems", "pairing", "anchors", "temporal", "quality", "metrics", "describe", "labels")
+MODULES = ("problems", "pairing", "anchors", "temporal", "quality", "metrics", "describe", "labels", "suites")
 
 
 def _merged(what: str) -> dict:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomyard.functions.keys import WHITE_SPACE, norm_category, norm_key
+from loomyard.metrics import evaluation as V
 from loomyard.metrics import uplift as U
 from loomyard.operators import flags, pairing, sampling
 from loomyard.operators.ranking import positions, ranked_by_hash
@@ -94,7 +95,11 @@ def test_metric_vector(spark):
     assert U.spearman(df, ["t"]).first().spearman == pytest.approx(3.5 / 22.5**0.5)
     assert U.qini(df, ["t"]).first().qini == pytest.approx(0.6)
     assert U.topk_recall(df, ["t"], 0.5).first().topk_recall == 1.0 and U.topk_recall(df, ["t"], 0.25).first().topk_recall == 0.0
-    assert [r.gain for r in U.gain_curve(df, ["t"]).orderBy("step").collect()] == [3, 7, 8, 10]
+    assert [r.gain for r in V.running_total(df, ["t"], F.col("y_pred").desc(), "y_true", "gain").orderBy("step").collect()] == [3, 7, 8, 10]
+    both = V.metric_bundle(df, ["t"], (0.5, 0.25)).first()
+    assert (both.n, both.topk_50, both.topk_25) == (4, 1.0, 0.0) and both.qini == pytest.approx(0.6) and both.pehe == pytest.approx(1.5**0.5)
+    with pytest.raises(Exception, match="missing"):
+        V.metric_bundle(df.withColumn("y_pred", F.when(F.col("pos") > 0, F.col("y_pred"))), ["t"]).collect()
     flat = df.withColumn("y_pred", F.lit(1.0))
     assert U.spearman(flat, ["t"]).first().spearman is None and U.qini(flat, ["t"]).first().qini is None
     low, high = U.exact_bootstrap(df, "y_true", "pos", draws=200, seed=0)
@@ -119,8 +124,8 @@ def test_ridge_is_the_closed_form(spark):
             assert got[i] == pytest.approx(y[tr].mean() + b * z[i], abs=1e-9)
     const = {r.id: r.y_pred for r in oof.constant(df, "y", row="i", fold="f").collect()}
     assert const[0] == pytest.approx(y[f != 0].mean())
-    moved = oof.shuffled(df, "x", "i", "s")
-    assert sorted(r.x for r in moved.collect()) == sorted(x.tolist()) and moved.where("i >= 0").count() == 60
+    told = {(r.fold, r.feature): r.importance for r in oof.fold_importance(df.withColumn("z", F.col("i") * 0.01), "y", numeric=["x", "z"], categorical=[], row="i", fold="f", repeats=3).collect()}
+    assert len(told) == 6 and all(told[k, "x"] > 1 > 0.2 > abs(told[k, "z"]) for k in range(3))
     with pytest.raises(ValueError):
         oof.guard(["ok", "score_a"], ("score",))
 
@@ -134,7 +139,7 @@ def test_boosting_beats_constant_on_a_planted_signal(spark):
     x = rng.normal(size=200)
     df = spark.createDataFrame([(i, i % 2, float(x[i]), float((x[i] > 0) * 1.0)) for i in range(200)], "i long, f long, x double, y double")
     err = lambda d: d.agg(F.avg(F.pow(F.col("y_true") - F.col("y_pred"), 2))).first()[0]
-    assert err(oof.boosting(df, "y", numeric=["x"], categorical=[], row="i", fold="f", rounds=5)) < 0.5 * err(oof.constant(df, "y", row="i", fold="f"))
+    assert err(oof.boosting(df, "y", numeric=["x"], categorical=[], row="i", fold="f", rounds=5, rate=0.1)) < 0.5 * err(oof.constant(df, "y", row="i", fold="f"))
 
 
 def test_quality(spark):
