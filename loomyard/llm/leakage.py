@@ -5,7 +5,9 @@ that a document's shingles cover are counted by stretches (no more than MAX_DAMA
 can match is bounded by what its stretch covers, so (document, item) pairs whose stretches cover too little are left out
 without loss; all others are verified: matching runs are chained in the order of both texts, and a chain counts if it spans
 at least min_words words of the item, at least min_cover of them in matching shingles (or 0.45 of them, if the matching ones
-alone are min_words) and at least RARE_SHARE of its shingles are no stock phrase. A gap in the item (a damaged word or two) is bounded, one in the document (matter standing inside the passage) is wider.
+alone are min_words) and at least RARE_SHARE of its shingles are no stock phrase. Words between and beyond the shingles are
+compared one by one: a chain in which at least SURE_COVER of the words agree counts too, so damage near an end of a passage
+loses nothing but a damaged first or last word. A gap in the item (a damaged word or two) is bounded, one in the document (matter standing inside the passage) is wider.
 
 Stock phrases are shingles of more than MAX_STOCK different items. Items of the same words are one item here, and a run of
 min_words words that several items share is a passage they share, no stock: its shingles count as rare. So a leak is found
@@ -39,6 +41,10 @@ PART = 4_000_000
 MAX_DAMAGE = 12
 MAX_INSERTED = 120
 MIN_SIDE = 15
+#: Where the words of both texts agree, place by place, on at least this share of the span, the matched words on either side
+#: of a long insertion may be as few as SURE_SIDE, and the words beyond the shingles count.
+SURE_COVER = 0.85
+SURE_SIDE = 8
 #: A chain that loses more words than this at an insertion, or has a long one, must reach min_cover,
 #: and have this share of its shingles outside stock.
 MAX_LOST = 4
@@ -58,6 +64,7 @@ class ItemIndex:
             same.setdefault(h[off[i] : off[i + 1]].tobytes(), []).append(i)
         self.ids, self.members = ids, list(same.values())
         h, off = words(pa.array([texts[m[0]] for m in self.members], pa.large_string()))
+        self.words, self.offsets = h, off
         s, so = shingles(h, off, K)
         w, wo = shingles(h, off, max(min_words, K))
         item = np.repeat(np.arange(len(self.members)), np.diff(so))
@@ -139,14 +146,31 @@ def candidates(s: np.ndarray, so: np.ndarray, index: ItemIndex, min_words: int =
     return np.concatenate(out)
 
 
-def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None = None) -> tuple[int, int] | None:
-    """(words spanned in the item, words in matching shingles) of the best chain that counts, or None.
+def _beyond(doc: np.ndarray, item: np.ndarray, a: int, b: int, step: int) -> tuple[int, int]:
+    """(words to the last that agrees, words that agree) on from two places, word by word, until two in a row differ: the
+    rest of a passage that a damaged word near its end has left without a shingle."""
+    far = same = miss = n = 0
+    while miss < 2 and 0 <= a < len(doc) and 0 <= b < len(item):
+        n += 1
+        if doc[a] == item[b]:
+            far, same, miss = n, same + 1, 0
+        else:
+            miss += 1
+        a, b = a + step, b + step
+    return far, same
+
+
+def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None = None, doc: np.ndarray | None = None, item: np.ndarray | None = None) -> tuple[int, int] | None:
+    """(words spanned in the item, words matched) of the best chain that counts, or None.
 
     A run may be followed by one after damage (both texts go on by about as many words) or after an insertion (the item
-    goes on after at most as many words as damage may take, the document later).
+    goes on after at most as many words as damage may take, the document later). Matched are the words of matching
+    shingles and, with the words of both texts given, those that agree place by place between and beyond them.
 
     p and q are the places of matching shingles in the document and the item; rare: which of them are no stock (all, if not given).
     """
+    if doc is None or item is None:
+        doc = item = np.zeros(0, np.uint64)
     order = np.lexsort((p, p - q))
     p, q = p[order], q[order]
     rare = np.ones(len(p), bool) if rare is None else rare[order]
@@ -157,29 +181,39 @@ def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, r
     for a, b, n, r in sorted(zip(p[new].tolist(), q[new].tolist(), size.tolist(), known.tolist())):
         # The chain that ends in this run: its first word in the item, the words matched, its shingles and those that are no stock.
         own = n + K - 1
-        end_a, end_b, first, got, every, sure, side, whole, dense = a + own, b + own, b, own, n, r, own, True, False
+        left, more = _beyond(doc, item, a - 1, b - 1, -1)
+        end_a, end_b, first, got, every, sure, side, least, dense = a + own, b + own, b, own, n, r, own, None, False
         while oldest < len(done) and done[oldest][4] < a - MAX_INSERTED:
             # By its last word in the item, the best chain that ended so far back.
-            if (old := done[oldest])[7] >= MIN_SIDE and (old[1] not in far or far[old[1]][3] < old[3]):
+            if (old := done[oldest])[7] >= SURE_SIDE and (old[1] not in far or far[old[1]][3] < old[3]):
                 far[old[1]] = old
             oldest += 1
-        for ea, eb, f, m, _, e, k, d, w, t in done[oldest:]:
+        for ea, eb, f, m, _, e, k, d, w, t, x, y in done[oldest:]:
             gap_a, gap_b = a - ea, b - eb
             damaged = -K < gap_b <= MAX_DAMAGE and abs(gap_a - gap_b) <= 2
             inserted = -K < gap_b <= MAX_DAMAGE and gap_b < gap_a <= MAX_INSERTED
             if end_b > eb and (damaged or inserted):
+                between = int((doc[ea:a] == item[eb:b]).sum()) if 0 < gap_a == gap_b and len(doc) else 0
                 c = m + min(own, end_b - eb)
                 if c > got:
-                    first, got, every, sure, side, whole = f, c, e + n, k + r, d + c - m, w
+                    first, got, every, sure, side, least, left, more = f, c, e + n, k + r, d + c - m, w, x, y + between
                     dense = t or not damaged and gap_b > MAX_LOST
         for eb in range(b - MAX_DAMAGE, b + K) if far else ():
             if eb in far and end_b > eb and (c := far[eb][3] + min(own, end_b - eb)) > got:
-                first, got, every, sure, side, whole = far[eb][2], c, far[eb][5] + n, far[eb][6] + r, c - far[eb][3], False
+                old = far[eb]
+                first, got, every, sure, side, left, more = old[2], c, old[5] + n, old[6] + r, c - old[3], old[10], old[11]
+                least = old[7] if old[8] is None else min(old[7], old[8])  # matched before the long insertion
                 dense = True
         reach = max(reach, end_a)
-        done.append((end_a, end_b, first, got, reach, every, sure, side, whole, dense))
-        span = end_b - first
-        if (whole or side >= MIN_SIDE) and sure >= (RARE_WIDE if dense else RARE_SHARE) * every and span >= min_words and (got >= min_cover * span or (not dense and got >= max(min_words, 0.45 * span))) and (best is None or got > best[1]):
+        done.append((end_a, end_b, first, got, reach, every, sure, side, least, dense, left, more))
+        if sure < (RARE_WIDE if dense else RARE_SHARE) * every:
+            continue
+        sides, span = MIN_SIDE if least is None else min(side, least), end_b - first
+        if sides >= MIN_SIDE and span >= min_words and (got >= min_cover * span or (not dense and got >= max(min_words, 0.45 * span))) and (best is None or got > best[1]):
+            best = (span, got)
+        right, agree = _beyond(doc, item, end_a, end_b, 1)
+        span, got = span + left + right, got + more + agree
+        if sides >= SURE_SIDE and span >= min_words and got >= SURE_COVER * span and (best is None or got > best[1]):
             best = (span, got)
     return best
 
@@ -187,7 +221,8 @@ def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, r
 def search(arr: pa.Array, index: ItemIndex, min_words: int = 40, min_cover: float = 0.65) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, words spanned, words matched) of the texts that carry a passage."""
     for lo, hi in slices(arr):
-        s, so = shingles(*words(arr.slice(lo, hi - lo)), K)
+        h, off = words(arr.slice(lo, hi - lo))
+        s, so = shingles(h, off, K)
         found = candidates(s, so, index, min_words, min_cover)
         if not len(found):
             continue
@@ -199,7 +234,7 @@ def search(arr: pa.Array, index: ItemIndex, min_words: int = 40, min_cover: floa
             for i in found[found[:, 0] == row, 1]:
                 of = slice(*np.searchsorted(item, [i, i + 1]))
                 need = min(min_words, int(index.length[i]))
-                if hit := best_chain(p[of], q[of], need, min_cover, index.rare[index.start[i] + q[of]]):
+                if hit := best_chain(p[of], q[of], need, min_cover, index.rare[index.start[i] + q[of]], h[off[row] : off[row + 1]], index.words[index.offsets[i] : index.offsets[i + 1]]):
                     for m in index.members[i]:
                         yield lo + int(row), m, *hit
 
