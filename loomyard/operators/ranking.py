@@ -28,16 +28,46 @@ def ranked_by_hash(df: DataFrame, group: list[str], key_hex: str, ties: list[str
     return out
 
 
+def _layout(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """The rows range-partitioned by (group, order), with `__part`; the layout is fixed by a reliable checkpoint."""
+    return cut(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__part", F.spark_partition_id()))
+
+
+def _key(group: list[str]) -> Column:
+    """One join key for a group; null groups are groups, as structs of nulls are equal."""
+    return F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
+
+
 def positions(df: DataFrame, group: list[str], order: list[Column], *, name: str = "pos") -> DataFrame:
     """Adds the position from 1 within the group by any total order.
 
-    The rows are range-partitioned by (group, order) and that layout is fixed by a reliable checkpoint; counts per
-    partition give the offsets, so a group of any size is numbered by many tasks.
+    Counts per range partition give the offsets, so a group of any size is numbered by many tasks.
     """
-    sorted_rows = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("__part", F.spark_partition_id())
-    fixed = cut(sorted_rows)
-    counts = fixed.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    fixed = _layout(df, group, order).withColumn("__g", _key(group))
+    counts = fixed.groupBy("__g", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    local = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
-    return fixed.withColumn("__local", local).join(counts, [*group, "__part"]).withColumn(name, F.col("__local") + F.col("__before")).select(*df.columns, name)
+    local = F.row_number().over(Window.partitionBy("__g", "__part").orderBy(*order))
+    return fixed.withColumn("__local", local).join(counts, ["__g", "__part"]).withColumn(name, F.col("__local") + F.col("__before")).select(*df.columns, name)
+
+
+def previous(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the value of the row before in the group's order (ascending, total); null for the first. The last row of each
+    range partition is handed on, so a group of any size is worked off by many tasks."""
+    fixed = _layout(df, group, [F.col(c) for c in order]).withColumn("__g", _key(group))
+    inner = Window.partitionBy("__g", "__part").orderBy(*order)
+    last = fixed.groupBy("__g", "__part").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last"))
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.select("__g", "__part", F.last("__last").over(before).alias("__carry"))
+    at = F.lag(F.struct(F.col(value).alias("v"))).over(inner)
+    return fixed.withColumn("__at", at).join(last, ["__g", "__part"]).withColumn(name, F.coalesce("__at", "__carry")["v"]).select(*df.columns, name)
+
+
+def greatest_before(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the greatest value of all earlier rows in the group's order (ascending, total); null for the first row."""
+    fixed = _layout(df, group, [F.col(c) for c in order]).withColumn("__g", _key(group))
+    inner = Window.partitionBy("__g", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    top = fixed.groupBy("__g", "__part").agg(F.max(value).alias("__top"))
+    before = Window.partitionBy("__g").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    top = top.select("__g", "__part", F.max("__top").over(before).alias("__carry"))
+    return fixed.withColumn("__in", F.max(value).over(inner)).join(top, ["__g", "__part"]).withColumn(name, F.greatest("__in", "__carry")).select(*df.columns, name)

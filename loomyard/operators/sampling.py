@@ -7,13 +7,13 @@ from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import hash_hex
 from .asof import asof_backward
 from .intervals import merge_intervals
-from .ranking import ranked_by_hash
+from .ranking import greatest_before, ranked_by_hash
 
 
 def rank_key(seed: int, key: str) -> Column:
@@ -185,8 +185,7 @@ def first_n(ranked: DataFrame, n: int, rank: str = "group_rank") -> DataFrame:
 
 def overlap_offenders(df: DataFrame, scope: str, start: str, end: str, key: str) -> DataFrame:
     """Rows whose window begins before an earlier one of the scope (by start, end, key) has ended; half-open windows."""
-    w = Window.partitionBy(scope).orderBy(start, end, key).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__reach", F.max(end).over(w)).where(F.col(start) < F.col("__reach")).drop("__reach")
+    return greatest_before(df, [scope], [start, end, key], end, "__reach").where(F.col(start) < F.col("__reach")).drop("__reach")
 
 
 def complete_counts(df: DataFrame, a: str, b: str, domain_a: DataFrame, domain_b: DataFrame) -> DataFrame:

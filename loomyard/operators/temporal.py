@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof_backward
+from .ranking import positions, previous
 
 
 def asof_forward(left: DataFrame, right: DataFrame, entity: str, left_time: str, right_time: str, values: list[str], *, bucket_width: int, prefix: str = "next_") -> DataFrame:
@@ -20,21 +21,26 @@ def grid_floor(c: str, width: int) -> Column:
     return F.expr(f"({c} div {width}L - if({c} % {width}L < 0, 1, 0)) * {width}L")
 
 
-def rolling_sum(c: str, order: str, n: int, *partition: str) -> Column:
-    """Sum over the current and the n-1 rows before; null until n rows are there."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-(n - 1), 0)
-    return F.when(F.count(F.lit(1)).over(w) == n, F.sum(c).over(w))
+def rolling_sum(df: DataFrame, group: list[str], order: str, value: str, n: int, name: str) -> DataFrame:
+    """(group, order, name): the sum over each row and the n-1 rows before it, null until n rows are there.
+
+    Every row is handed to the n rows it counts for, by position, and summed: no task holds a group.
+    """
+    p = positions(df.select(*group, order, value), group, [F.col(order)], name="__p")
+    to = F.explode(F.sequence(F.col("__p"), F.col("__p") + n - 1)).alias("__to")
+    g = p.select(*group, "__p", order, value, to).groupBy(*group, "__to")
+    out = g.agg(F.count("*").alias("__n"), F.sum(value).alias("__s"), F.max(F.when(F.col("__p") == F.col("__to"), F.col(order))).alias(order), F.max((F.col("__p") == F.col("__to")).cast("int")).alias("__own"))
+    return out.where("__own = 1").select(*group, order, F.when(F.col("__n") == n, F.col("__s")).alias(name))
 
 
 def gaps(df: DataFrame, entity: str, at: str, tie: str) -> DataFrame:
     """Rows with the time since the row before in their entity (null for the first)."""
-    return df.withColumn("gap", F.col(at) - F.lag(at).over(Window.partitionBy(entity).orderBy(at, tie)))
+    return previous(df, [entity], [at, tie], at, "__before").withColumn("gap", F.col(at) - F.col("__before")).drop("__before")
 
 
 def every_kth(df: DataFrame, entity: str, order: list[str], k: int) -> DataFrame:
     """Rows 1, k+1, 2k+1... of each entity."""
-    n = F.row_number().over(Window.partitionBy(entity).orderBy(*order))
-    return df.withColumn("__n", n).where((F.col("__n") - 1) % k == 0).drop("__n")
+    return positions(df, [entity], [F.col(c) for c in order], name="__n").where((F.col("__n") - 1) % k == 0).drop("__n")
 
 
 def unzip_series(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import flags as G
 from ..operators import sampling as S
+from ..operators.ranking import positions, ranked_by_hash
 from ..sources.tables import micros, table
 
 H = 3_600_000_000
@@ -22,9 +23,8 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
 def anchor_flags(spark: SparkSession, d: str) -> DataFrame:
     """Rules as flags, no row dropped: inner position, window within the log (closed), value above the median type value."""
     a = anchors(spark, d)
-    whole = Window.partitionBy("user_id")
-    a = a.withColumn("idx", F.row_number().over(whole.orderBy("us", "event_id"))).withColumn("n", F.count("*").over(whole))
-    a = a.withColumn("log_start", F.min("us").over(whole)).withColumn("log_end", F.max("us").over(whole))
+    whole = a.groupBy("user_id").agg(F.count("*").alias("n"), F.min("us").alias("log_start"), F.max("us").alias("log_end"))
+    a = positions(a, ["user_id"], [F.col("us"), F.col("event_id")], name="idx").join(whole, "user_id")
     a = a.withColumn("inner_ok", (F.col("idx") >= 3) & (F.col("idx") < F.col("n") - 1)).withColumn("window_ok", (F.col("start_us") >= F.col("log_start")) & (F.col("end_us") <= F.col("log_end")))
     a = a.withColumn("value_ok", F.coalesce(F.col("value") > 10, F.lit(False)))
     return G.all_of(a, ["inner_ok", "window_ok", "value_ok"], "ready").select("event_id", "user_id", "idx", "inner_ok", "window_ok", "value_ok", "ready")
@@ -58,9 +58,8 @@ def type_by_city_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def time_blocks(spark: SparkSession, d: str) -> DataFrame:
     a = anchors(spark, d)
-    w = Window.partitionBy("user_id")
     block = F.expr(f"(us - first_us) div {15 * H}").cast("string")
-    return a.withColumn("first_us", F.min("us").over(w)).select("event_id", F.concat_ws(":", F.col("user_id").cast("string"), F.lpad(block, 5, "0")).alias("block_id"))
+    return a.join(a.groupBy("user_id").agg(F.min("us").alias("first_us")), "user_id").select("event_id", F.concat_ws(":", F.col("user_id").cast("string"), F.lpad(block, 5, "0")).alias("block_id"))
 
 
 def shard_reconcile(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +71,6 @@ def shard_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_rank_topn(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.ranking import ranked_by_hash
-
     a = anchors(spark, d).withColumn("rank_key", S.rank_key(SEED, "event_id"))
     return S.first_n(ranked_by_hash(a, ["event_type"], "rank_key", ["event_id"], name="group_rank"), 5).select("event_type", "event_id", "rank_key", "group_rank")
 

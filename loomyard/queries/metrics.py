@@ -67,7 +67,7 @@ def metric_bundle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gain_curve(spark: SparkSession, d: str) -> DataFrame:
-    exact = predictions(spark, d).withColumn("y", F.col("y_true").cast("decimal(18,9)"))
+    exact = predictions(spark, d).withColumn("y", F.col("y_true").cast("decimal(14,9)"))
     out = V.running_total(exact, ["arm"], F.col("y_pred").desc(), "y", "gain")
     return out.select("arm", "step", F.col("gain").cast("double").alias("gain"))
 

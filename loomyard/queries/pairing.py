@@ -61,7 +61,7 @@ def score_reconstruction(spark: SparkSession, d: str) -> DataFrame:
 
 def failure_rates(spark: SparkSession, d: str) -> DataFrame:
     """Share below 1 per metric and planner."""
-    metrics = ["no_ego_at_fault_collisions", "drivable_area_compliance", "ego_is_making_progress", "driving_direction_compliance", "time_to_collision_within_bound", "speed_limit_compliance", "ego_is_comfortable"]
+    metrics = _METRICS.split(", ")
     long = table(spark, d, "planner_outcome", "planner", *metrics).unpivot("planner", metrics, "metric", "value")
     return long.groupBy("planner", "metric").agg(F.count("value").alias("n"), F.round(F.avg((F.col("value") < 1 - 1e-9).cast("double")), 6).alias("failure_rate"))
 
@@ -80,7 +80,7 @@ _OUT = "o AS (SELECT o_custkey, o_orderpriority, round(avg(least(o_totalprice /
 _WIDE = f"""{_OUT}, w AS (SELECT o_custkey, {", ".join(f"max(score) FILTER (o_orderpriority = '{a}') AS score_{s}" for a, s in zip(ARMS, SLUGS))} FROM o GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) = 5),
 l AS (SELECT *, {", ".join(f"round(score_{a} - score_{SLUGS[-1]}, 9) AS delta_{a}" for a in OTHERS)}, CASE {" ".join(f"WHEN score_{a} >= greatest({', '.join(f'score_{b}' for b in SLUGS)}) - 1e-9 THEN '{a}'" for a in SLUGS)} END AS best_arm FROM w),
 u AS (UNPIVOT (SELECT o_custkey, {", ".join(f"delta_{a}" for a in OTHERS)} FROM l) ON {", ".join(f"delta_{a}" for a in OTHERS)} INTO NAME arm VALUE delta)"""
-_METRICS = "no_ego_at_fault_collisions, drivable_area_compliance, ego_is_making_progress, driving_direction_compliance, time_to_collision_within_bound, speed_limit_compliance, ego_is_comfortable"
+_METRICS = "no_ego_at_fault_collisions, drivable_area_compliance, ego_is_making_progress, driving_direction_compliance, ego_progress_along_expert_route, time_to_collision_within_bound, speed_limit_compliance, ego_is_comfortable"
 _PRED = [f"(delta_{OTHERS[0]} / {i + 2} - {0.01 * i})" for i in range(len(OTHERS))]
 SQL = {
     "arm_labels": f"WITH {_WIDE} SELECT * FROM l",

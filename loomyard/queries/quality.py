@@ -15,6 +15,12 @@ from ..sources.tables import table
 CONTRACT = Contract([Field("n_orders", "long", model_feature=True), Field("total", "double", model_feature=True), Field("region", "string", model_feature=True), Field("mean_line", "double", "outcome")], forbidden=("score", "delta"), keys=("c_custkey",))
 
 
+OUTCOME_COLUMNS = [
+    "outcome_id", "scenario_id", "log_name", "scenario_token", "scenario_type", "map_name", "anchor_timestamp_us", "window_start_us", "window_end_us", "score", "no_ego_at_fault_collisions", "drivable_area_compliance",
+    "ego_is_making_progress", "driving_direction_compliance", "ego_progress_along_expert_route", "time_to_collision_within_bound", "speed_limit_compliance", "ego_is_comfortable", "succeeded", "error_message", "planner", "run_id", "recorded_at",
+]
+
+
 def feature_integration(spark: SparkSession, d: str) -> DataFrame:
     """Customers with three sources left-joined one to one, projected by the contract with _missing flags."""
     c = table(spark, d, "customer", "c_custkey", "c_nationkey")
@@ -44,7 +50,7 @@ def exact_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def null_profile(spark: SparkSession, d: str) -> DataFrame:
-    return C.null_profile(table(spark, d, "planner_outcome"), ["scenario_id", "run_id", "score", "succeeded", "error_message", "ego_is_comfortable"])
+    return C.null_profile(table(spark, d, "planner_outcome"), OUTCOME_COLUMNS)
 
 
 def table_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +111,7 @@ FROM customer LEFT JOIN p ON k = c_custkey LEFT JOIN nation ON n_nationkey = c_n
 SELECT planner, count(DISTINCT run) AS n_runs, count(*) AS n_rows FROM o WHERE NOT EXISTS (SELECT 1 FROM run_result WHERE lower(trim(run_id, {_WS})) = run) GROUP BY 1""",
     "duplicate_conflicts": "SELECT l_orderkey, l_linenumber, count(*) AS copies, CASE WHEN count(DISTINCT (l_returnflag, l_linestatus)) = 1 THEN 'exact' ELSE 'conflict' END AS kind FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "exact_copies": "SELECT sha256(text) AS text_hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
-    "null_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(*) AS n_rows FROM planner_outcome" for c in ("scenario_id", "run_id", "score", "succeeded", "error_message", "ego_is_comfortable")),
+    "null_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(*) AS n_rows FROM planner_outcome" for c in OUTCOME_COLUMNS),
     "table_diff": "WITH o AS (SELECT o_orderkey % 17 <> 0 AS b, o_orderkey % 17 <> 0 AND o_orderkey % 5 <> 0 AS p FROM orders) "
     + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({f}) AS agree, count(*) FILTER (NOT {f}) AS differ, count(*) AS total FROM o" for c, f in (("o_custkey", "b"), ("o_orderstatus", "b"), ("o_totalprice", "p"))),
     "cleaning_steps": f"""WITH o AS (SELECT lower(trim(run_id, {_WS})) AS run, score, succeeded FROM planner_outcome WHERE scenario_id IS NOT NULL)

@@ -40,8 +40,8 @@ def hourly_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_3h(spark: SparkSession, d: str) -> DataFrame:
-    h = _hourly(spark, d).withColumn("day", F.lit(1))
-    return h.select("hour_us", F.round(T.rolling_sum("total", "hour_us", 3, "day"), 3).alias("sum_3h"))
+    out = T.rolling_sum(_hourly(spark, d), [], "hour_us", "total", 3, "sum_3h")
+    return out.select("hour_us", F.round("sum_3h", 3).alias("sum_3h"))
 
 
 def gap_check(spark: SparkSession, d: str) -> DataFrame:
@@ -70,12 +70,12 @@ def point_in_polygon(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_neighbour(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers of a nation around each customer, placed by key arithmetic."""
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 97).cast("double").alias("ex"), (F.col("c_custkey") % 89).cast("double").alias("ey"))
-    s = table(spark, d, "supplier", "s_suppkey", "s_nationkey").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), (F.col("s_suppkey") * 7 % 97).cast("double").alias("ox"), (F.col("s_suppkey") * 5 % 89).cast("double").alias("oy"))
-    frames = c.select("c_custkey", "ex", "ey")
-    objects = c.select("c_custkey", "c_nationkey").join(s, "c_nationkey").select("c_custkey", "s_suppkey", "ox", "oy")
-    return X.neighbours(frames, objects, "c_custkey", object_id="s_suppkey", radius=20.0).withColumn("nearest_distance", F.round("nearest_distance", 6))
+    """The line items of an order around it, placed by key arithmetic."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    frames = o.select("o_orderkey", (F.col("o_orderkey") % 97).cast("double").alias("ex"), (F.col("o_custkey") % 89).cast("double").alias("ey"))
+    li = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    objects = li.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", (F.col("l_partkey") * 7 % 97).cast("double").alias("ox"), (F.col("l_suppkey") * 5 % 89).cast("double").alias("oy"))
+    return X.neighbours(frames, objects, "o_orderkey", object_id="l_linenumber", radius=20.0).withColumn("nearest_distance", F.round("nearest_distance", 6))
 
 
 def closing_speed(spark: SparkSession, d: str) -> DataFrame:
@@ -123,10 +123,8 @@ SQL = {
     "point_in_polygon": f"""WITH e(polygon_id, x1, y1, x2, y2) AS (VALUES {_POLY}), j AS (SELECT p_partkey, polygon_id, p_size::DOUBLE AS px, p_retailprice AS py, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM part, e)
 SELECT p_partkey, polygon_id::BIGINT AS polygon_id FROM j GROUP BY ALL HAVING bool_or((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) = 0 AND px BETWEEN least(x1, x2) AND greatest(x1, x2) AND py BETWEEN least(y1, y2) AND greatest(y1, y2))
 OR count(*) FILTER ((y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1""",
-    "nearest_neighbour": """WITH c AS (SELECT c_custkey, c_nationkey, (c_custkey % 97)::DOUBLE AS ex, (c_custkey % 89)::DOUBLE AS ey FROM customer),
-s AS (SELECT s_suppkey, s_nationkey, (s_suppkey * 7 % 97)::DOUBLE AS ox, (s_suppkey * 5 % 89)::DOUBLE AS oy FROM supplier),
-j AS (SELECT c_custkey, s_suppkey, sqrt((ox - ex) * (ox - ex) + (oy - ey) * (oy - ey)) AS dist FROM c LEFT JOIN s ON s_nationkey = c_nationkey)
-SELECT c_custkey, count(*) FILTER (dist <= 20) AS n_near, round(min(dist), 6) AS nearest_distance, arg_min(s_suppkey, (dist, s_suppkey)) AS nearest_id FROM j GROUP BY 1""",
+    "nearest_neighbour": """WITH j AS (SELECT o_orderkey, l_linenumber, sqrt((l_partkey * 7 % 97 - o_orderkey % 97) ** 2 + (l_suppkey * 5 % 89 - o_custkey % 89) ** 2) AS dist FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT o_orderkey, count(*) FILTER (dist <= 20) AS n_near, round(min(dist), 6) AS nearest_distance, arg_min(l_linenumber, (dist, l_linenumber)) AS nearest_id FROM j GROUP BY 1""",
     "closing_speed": "SELECT pose_id, round(atan2(2 * qw * qz + 0.0, 1 - 2 * qz * qz), 6) AS yaw, round(-(x * vx + y * vy) / nullif(sqrt(x * x + y * y), 0), 6) AS closing FROM ego_pose",
     "adjacency_fallback": """WITH m AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey) FILTER (l_partkey % 2 = 0)) AS own, list_sort(list(DISTINCT s_nationkey::BIGINT)) AS far FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
 SELECT l_orderkey, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE far END, '|') AS links FROM m""",
