@@ -2,12 +2,12 @@
 
 Method: exact shingle containment. Every shingle of a document is looked up among those of the items, and the item words
 that a document's shingles cover are counted by stretches (no more than MAX_DAMAGE uncovered words in a row). What a chain
-can match is bounded by what its stretch covers, so (document, item) pairs whose stretches cover too little are left out
-without loss; all others are verified: matching runs are chained in the order of both texts, and a chain counts if it spans
-at least min_words words of the item, at least min_cover of them in matching shingles (or 0.45 of them, if the matching ones
-alone are min_words) and at least RARE_SHARE of its shingles are no stock phrase. Words between and beyond the shingles are
-compared one by one: a chain in which at least SURE_COVER of the words agree counts too, so damage near an end of a passage
-loses nothing but a damaged first or last word. A gap in the item (a damaged word or two) is bounded, one in the document (matter standing inside the passage) is wider.
+can match is bounded by what its stretch covers: (document, item) pairs whose stretches cover less than LEAST_COVER of
+min_words are left out; all others are verified: matching runs are chained in the order of both texts, and a chain counts if it spans
+at least min_words words of the item, at least RARE_SHARE of its shingles are no stock phrase, and either its matching
+shingles hold min_words words (and LOOSE_COVER of the span; min_cover, if something long stands between), or, with the words
+between and beyond the shingles compared one by one, SURE_COVER of the words agree. So damage near an end of a passage loses
+nothing but a damaged first or last word. A gap in the item (a damaged word or two) is bounded, one in the document (matter standing inside the passage) is wider.
 
 Stock phrases are shingles of more than MAX_STOCK different items. Items of the same words are one item here, and a run of
 min_words words that several items share is a passage they share, no stock: its shingles count as rare. So a leak is found
@@ -41,9 +41,14 @@ PART = 4_000_000
 MAX_DAMAGE = 12
 MAX_INSERTED = 120
 MIN_SIDE = 15
+#: A pair is proposed if a stretch covers this share of min_words: 25 of 40 words, the least that three damaged words leave
+#: covered in a passage of 40; longer passages bear more.
+LEAST_COVER = 0.62
+#: Share of the span in matching shingles that is enough where these alone are min_words and nothing long stands between.
+LOOSE_COVER = 0.45
 #: Where the words of both texts agree, place by place, on at least this share of the span, the matched words on either side
 #: of a long insertion may be as few as SURE_SIDE, and the words beyond the shingles count.
-SURE_COVER = 0.85
+SURE_COVER = 0.8
 SURE_SIDE = 8
 #: A chain that loses more words than this at an insertion, or has a long one, must reach min_cover,
 #: and have this share of its shingles outside stock.
@@ -116,7 +121,7 @@ def _held(s: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
     return known[n >= least]
 
 
-def candidates(s: np.ndarray, so: np.ndarray, index: ItemIndex, min_words: int = 40, min_cover: float = 0.65) -> np.ndarray:
+def candidates(s: np.ndarray, so: np.ndarray, index: ItemIndex, min_words: int = 40, min_cover: float = LEAST_COVER) -> np.ndarray:
     """(row, item) pairs, as rows of an array, of which some stretch covers as many words, and as many of them rare, as a chain that counts must match."""
     at, i = index.lookup(s)
     row_of = np.searchsorted(so, at, side="right") - 1
@@ -209,7 +214,7 @@ def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, r
         if sure < (RARE_WIDE if dense else RARE_SHARE) * every:
             continue
         sides, span = MIN_SIDE if least is None else min(side, least), end_b - first
-        if sides >= MIN_SIDE and span >= min_words and (got >= min_cover * span or (not dense and got >= max(min_words, 0.45 * span))) and (best is None or got > best[1]):
+        if sides >= MIN_SIDE and span >= min_words and got >= max(min_words, (min_cover if dense else LOOSE_COVER) * span) and (best is None or got > best[1]):
             best = (span, got)
         right, agree = _beyond(doc, item, end_a, end_b, 1)
         span, got = span + left + right, got + more + agree
@@ -223,7 +228,7 @@ def search(arr: pa.Array, index: ItemIndex, min_words: int = 40, min_cover: floa
     for lo, hi in slices(arr):
         h, off = words(arr.slice(lo, hi - lo))
         s, so = shingles(h, off, K)
-        found = candidates(s, so, index, min_words, min_cover)
+        found = candidates(s, so, index, min_words)
         if not len(found):
             continue
         for row in np.unique(found[:, 0]):
