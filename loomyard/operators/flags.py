@@ -18,6 +18,24 @@ def safe(flag: str) -> Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
 
+def keep(df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose flag is true, one row with n_kept and n_excluded); a null flag counts as false."""
+    ok = safe(flag)
+    return df.where(ok), df.agg(F.count(F.when(ok, 1)).alias("n_kept"), F.count(F.when(~ok, 1)).alias("n_excluded"))
+
+
+def keys_of_any(df: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
+    """The distinct keys of all rows for which any of the flags holds; null keys are left out."""
+    return df.where(reduce(lambda a, b: a | b, [safe(f) for f in flags]) & F.col(key).isNotNull()).select(key).distinct()
+
+
+def compare_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(only_left, only_right, common): distinct non-null keys of two tables, in one shuffle."""
+    both = a.select(F.col(key).alias("k"), F.lit(1).alias("s")).unionByName(b.select(F.col(key).alias("k"), F.lit(2).alias("s"))).where("k is not null")
+    sides = both.groupBy("k").agg(F.bit_or("s").alias("s"))
+    return sides.agg(*[F.count(F.when(F.col("s") == i, 1)).alias(n) for i, n in ((1, "only_left"), (2, "only_right"), (3, "common"))])
+
+
 def funnel(df: DataFrame, rules: Sequence[str], distinct: Sequence[str]) -> DataFrame:
     """(step, rule, n_rows, n_<key>...): what is left after each rule in turn, in one pass. Step 0 is all rows."""
     steps, held = [("all", F.lit(True))], F.lit(True)

@@ -56,6 +56,41 @@ def yaw(qw: Column, qz: Column) -> Column:
     return F.atan2(2 * qw * qz, 1 - 2 * qz * qz)
 
 
+def centre_of(x: Column, y: Column, heading: Column, offset: float) -> tuple[Column, Column]:
+    """The centre of a body from its reference point, which lies `offset` behind it along the heading."""
+    return x + offset * F.cos(heading), y + offset * F.sin(heading)
+
+
+def to_global(vx: Column, vy: Column, heading: Column) -> tuple[Column, Column]:
+    """A vector of the body's own frame in the global one."""
+    return vx * F.cos(heading) - vy * F.sin(heading), vx * F.sin(heading) + vy * F.cos(heading)
+
+
+def degree_distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance of places near each other: degrees on a plane whose longitudes shrink with the latitude, 111.2 km each."""
+    dx = (lon2 - lon1) * F.cos(F.radians((lat1 + lat2) / 2))
+    return F.hypot(lat2 - lat1, dx) * 111.2
+
+
+def map_features(frame: DataFrame, layers: dict[str, DataFrame], lights: DataFrame, *, key: str, located: Column, tokened: Column, order: list[str]) -> DataFrame:
+    """Per row of the frame what the map layers and the signals say of it.
+
+    layers: hits (key, polygon_id) per layer, as points_in_polygons gives them; lights: (key, state). Gives <layer>_ids
+    (sorted, joined by '|', '' for no hit), place (the first layer that is hit, 'off the map' for none) and light (the
+    strongest state). Precedence of nulls: without a location everything is null; without a token, or without any
+    state, only the light is.
+    """
+    out = frame.withColumn("__loc", F.coalesce(located, F.lit(False))).withColumn("__tok", F.coalesce(tokened, F.lit(False)))
+    for name, hits in layers.items():
+        ids = hits.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("polygon_id")), "|").alias(f"{name}_ids"))
+        out = out.join(ids, key, "left").withColumn(f"{name}_ids", F.when(F.col("__loc"), F.coalesce(f"{name}_ids", F.lit(""))))
+    place = F.lit("off the map")
+    for name in reversed(layers):
+        place = F.when(F.col(f"{name}_ids") != "", name).otherwise(place)
+    out = out.withColumn("place", F.when(F.col("__loc"), place)).join(strongest(lights, key, "state", order).withColumnRenamed("state", "__light"), key, "left")
+    return out.withColumn("light", F.when(F.col("__loc") & F.col("__tok"), F.col("__light"))).drop("__loc", "__tok", "__light")
+
+
 def adjacency(sources: DataFrame, edges: DataFrame, *, key: str, own: str, via: str) -> DataFrame:
     """Per key its own links if it has any, else those reached by an edge: (key, links), sorted, [] for neither.
 

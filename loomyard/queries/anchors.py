@@ -35,6 +35,25 @@ def anchor_funnel(spark: SparkSession, d: str) -> DataFrame:
     return G.funnel(f, ["inner_ok", "window_ok", "value_ok"], ["user_id"])
 
 
+def ready_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Kept and excluded by the conjunction of: ready, of a benchmark type, not of a user that shares the small sample."""
+    a = anchors(spark, d).select("event_id", "event_type")
+    f = anchor_flags(spark, d).join(a, "event_id").withColumn("typed", F.col("event_type").isin("click", "purchase")).withColumn("apart", F.col("user_id") % 10 != 0)
+    return G.keep(G.all_of(f, ["ready", "typed", "apart"], "candidate"), "candidate")[1]
+
+
+def flagged_users(spark: SparkSession, d: str) -> DataFrame:
+    """Users with an event of value above 400 or with an early or late anchor, candidates or not."""
+    f = anchors(spark, d).withColumn("high", F.col("value") > 400).withColumn("last", F.col("event_type") == "error")
+    return G.keys_of_any(f.withColumn("rare", F.col("last") & (F.col("value") > 250)), "user_id", ["high", "rare"])
+
+
+def order_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with orders against all customers: missing, extra, common."""
+    o, c = table(spark, d, "orders", F.col("o_custkey").alias("k")), table(spark, d, "customer", F.col("c_custkey").alias("k"))
+    return G.compare_sets(o, c, "k")
+
+
 def anchor_tags(spark: SparkSession, d: str) -> DataFrame:
     """Per user and day the sorted distinct tags and the greatest allowed one (null if there is none)."""
     a = anchors(spark, d).withColumn("day", F.expr(f"us div {24 * H}"))
@@ -154,6 +173,9 @@ SQL = {
 UNION ALL SELECT 1, 'inner_ok', count(*), count(DISTINCT user_id) FROM f WHERE inner_ok
 UNION ALL SELECT 2, 'window_ok', count(*), count(DISTINCT user_id) FROM f WHERE inner_ok AND window_ok
 UNION ALL SELECT 3, 'value_ok', count(*), count(DISTINCT user_id) FROM f WHERE inner_ok AND window_ok AND value_ok""",
+    "ready_candidates": f"""WITH {_F}, c AS (SELECT inner_ok AND window_ok AND value_ok AND a.event_type IN ('click', 'purchase') AND f.user_id % 10 <> 0 AS ok FROM f JOIN a USING (event_id)) SELECT count(*) FILTER (ok) AS n_kept, count(*) FILTER (NOT coalesce(ok, false)) AS n_excluded FROM c""",
+    "flagged_users": f"WITH {_A} SELECT DISTINCT user_id FROM a WHERE value > 400 OR (event_type = 'error' AND value > 250)",
+    "order_customers": "SELECT (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS only_left, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS only_right, (SELECT count(DISTINCT o_custkey) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS common",
     "anchor_tags": f"WITH {_T} SELECT * FROM t",
     "tag_counts": f"WITH {_T}, x AS (SELECT n, unnest(string_split(tags, '|')) AS tag FROM t) SELECT tag, count(*) AS n_days, sum(n)::BIGINT AS n_events FROM x GROUP BY tag HAVING count(*) >= 5",
     "type_by_city_counts": "SELECT n_name, s AS c_mktsegment, count(c_custkey) AS n FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer) LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = s GROUP BY ALL",
@@ -177,4 +199,4 @@ z AS (SELECT d.city, d.event_type, coalesce(c.n, 0) AS candidates, coalesce(n.n,
 SELECT *, least(ranked, 5) AS selected_5, greatest(0, 5 - ranked) AS shortfall_5, least(ranked, 25) AS selected_25, greatest(0, 25 - ranked) AS shortfall_25 FROM z""",
     "overlap_violations": f"""WITH {_A} SELECT event_id, user_id FROM (SELECT *, max(end_us) OVER (PARTITION BY user_id ORDER BY start_us, end_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM a) WHERE start_us < r""",
 }
-QUERIES = {f.__name__: f for f in (anchor_flags, anchor_funnel, anchor_tags, tag_counts, type_by_city_counts, time_blocks, shard_reconcile, hash_rank_topn, user_split, split_coverage, log_folds, fold_sizes, fold_leaks, nonoverlap_ranking, nested_cut, group_shortfall, overlap_violations, quota_sample)}
+QUERIES = {f.__name__: f for f in (anchor_flags, anchor_funnel, ready_candidates, flagged_users, order_customers, anchor_tags, tag_counts, type_by_city_counts, time_blocks, shard_reconcile, hash_rank_topn, user_split, split_coverage, log_folds, fold_sizes, fold_leaks, nonoverlap_ranking, nested_cut, group_shortfall, overlap_violations, quota_sample)}

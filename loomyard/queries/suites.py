@@ -16,6 +16,8 @@ from ..sources.tables import table
 from .anchors import _A, _RANK, _SPLIT, H, anchor_flags, anchor_funnel, anchors, nonoverlap_ranking, user_split
 from .describe import _CITY, _OUT, _PAIR, COMPONENTS, city_anchor_shares, latest_outcomes, matched_pairs
 from .labels import _LAB, PLANNERS, modeling_table, planner_labels
+from .metrics import SQL as METRIC_SQL
+from .metrics import constant_oof
 from .pairing import _WIDE, OTHERS, SLUGS, arm_labels
 from .problems import _WS
 
@@ -144,6 +146,18 @@ def feature_checks(spark: SparkSession, d: str) -> DataFrame:
     return _report(spark, checks)
 
 
+def oof_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold predictions: one per row and target, all rows covered, finite, in their own fold, better than nothing."""
+    o = constant_oof(spark, d)
+    lab = arm_labels(spark, d).select(F.col("o_custkey").alias("id"))
+    targets = o.groupBy("id").agg(F.countDistinct("target").alias("n"))
+    error = o.groupBy("target").agg(F.sqrt(F.avg(F.pow(F.col("y_pred") - F.col("y_true"), 2))).alias("pehe"), F.stddev_pop("y_true").alias("spread"))
+    checks = [("predictions unique", lambda: E.unique(o, "predictions unique", ["id", "target"])), ("rows covered", lambda: E.covered(lab, "rows covered", o, ["id"])), ("all targets", lambda: E.holds(targets, "all targets", F.col("n") == len(OTHERS)))]
+    checks += _holds(o, {"finite": F.col("y_pred").isNotNull() & ~F.isnan("y_pred"), "fold of the row": F.col("fold") == F.col("id") % 5})
+    checks.append(("error near the spread", lambda: E.holds(error, "error near the spread", F.abs(F.col("pehe") / F.col("spread") - 1) < 0.02)))
+    return _report(spark, checks)
+
+
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     """Fourteen checks of the matched pairs and what they are made of."""
     p, o = matched_pairs(spark, d), table(spark, d, "planner_outcome", "scenario_id", "run_id", "planner", "score", "recorded_at", "succeeded")
@@ -227,6 +241,13 @@ SQL = {
         ],
         f"WITH {_WIDE}",
     ),
+    "oof_checks": _sql(
+        [
+            _repeated("predictions unique", "oo", "id, target"), ("rows covered", "SELECT count(*) FROM l WHERE o_custkey NOT IN (SELECT id FROM oo)"), ("all targets", f"SELECT count(*) FROM (SELECT id FROM oo GROUP BY id HAVING count(DISTINCT target) <> {len(OTHERS)})"),
+            _off("finite", "oo", "y_pred IS NOT NULL"), _off("fold of the row", "oo", "fold = id % 5"), ("error near the spread", "SELECT count(*) FROM (SELECT sqrt(avg((y_pred - y_true) ** 2)) / stddev_pop(y_true) AS r FROM oo GROUP BY target) WHERE abs(r - 1) >= 0.02"),
+        ],
+        f"{METRIC_SQL['constant_oof'].replace('SELECT pos AS id', 'SELECT_pos AS id')}".replace("SELECT_pos AS id", ", oo AS (SELECT pos AS id") + ")",
+    ),
     "quality_report": _sql(
         [
             _repeated("pairs unique", "p", "scenario"), ("pairs there", "SELECT (count(*) = 0)::INT FROM p"), _off("control in range", "p", "score_control BETWEEN 0 AND 1"), _off("candidate in range", "p", "score_candidate BETWEEN 0 AND 1"), _off("delta of the scores", "p", "abs(score_candidate - score_control - delta) < 1e-8"),
@@ -242,4 +263,4 @@ SQL = {
     ),
     "funnel_checks": _sql([(n, "SELECT 0") for n in ("anchors unique", "flags known", "ready is all", "rows reconciled", "last step is ready", "steps fall", "users reconciled")]),
 }
-QUERIES = {f.__name__: f for f in (manifest_checks, arm_checks, pose_checks, series_checks, city_checks, ranking_checks, label_checks, feature_checks, quality_report, funnel_checks)}
+QUERIES = {f.__name__: f for f in (manifest_checks, arm_checks, pose_checks, series_checks, city_checks, ranking_checks, label_checks, feature_checks, oof_checks, quality_report, funnel_checks)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import spatial as X
 from ..operators import temporal as T
 from ..operators.asof import asof_backward
+from ..operators.assembly import join_many_to_one
 from ..sources.tables import micros, table
 from .anchors import _A, H, anchors
 
@@ -84,6 +85,37 @@ def closing_speed(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pose_id", F.round(X.yaw(F.col("qw"), F.col("qz")), 6).alias("yaw"), F.round(X.closing_speed(F.col("x"), F.col("y"), F.col("vx"), F.col("vy")), 6).alias("closing"))
 
 
+def pose_global(spark: SparkSession, d: str) -> DataFrame:
+    """Centre and velocity of every pose in the global frame."""
+    p = table(spark, d, "ego_pose", "pose_id", "x", "y", "qw", "qz", "vx", "vy")
+    h = X.yaw(F.col("qw"), F.col("qz"))
+    (cx, cy), (gx, gy) = X.centre_of(F.col("x"), F.col("y"), h, 1.461), X.to_global(F.col("vx"), F.col("vy"), h)
+    return p.select("pose_id", *[F.round(c, 6).alias(n) for n, c in (("cx", cx), ("cy", cy), ("gx", gx), ("gy", gy))])
+
+
+def place_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of every customer from the first place of its nation, on degrees made from keys."""
+    lat, lon = 40 + F.col("c_custkey") % 97 / 1000, -80 + F.col("c_custkey") % 89 / 1000
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey").select("c_custkey", "c_nationkey", lat.alias("lat"), lon.alias("lon"))
+    first = c.groupBy("c_nationkey").agg(F.min_by("lat", "c_custkey").alias("lat0"), F.min_by("lon", "c_custkey").alias("lon0"))
+    return c.join(first, "c_nationkey").select("c_custkey", F.round(X.degree_distance_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), 6).alias("km"))
+
+
+def user_hour_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with its user's total of the hour before: many to one on (user, hour)."""
+    a = anchors(spark, d).withColumn("hour_us", T.grid_floor("us", H))
+    per = a.groupBy("user_id", (F.col("hour_us") + H).alias("hour_us")).agg(F.round(F.sum("value"), 6).alias("total_before"))
+    return join_many_to_one(a, per, ["user_id", "hour_us"]).select("event_id", "total_before")
+
+
+def map_features(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as places on two layers, with the states of their line items; some have no place and some no token."""
+    p = table(spark, d, "part", "p_partkey", "p_size", "p_retailprice").withColumn("p_size", F.when(F.col("p_partkey") % 13 != 0, F.col("p_size")))
+    hit = lambda polygons: X.points_in_polygons(p, X.polygon_edges(polygons, spark), key="p_partkey", x="p_size", y="p_retailprice", cell=25.0)
+    lights = table(spark, d, "lineitem", F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("state")).where("p_partkey % 5 <> 0")
+    return X.map_features(p.select("p_partkey", "p_size"), {"lane": hit(POLYGONS[:2]), "connector": hit(POLYGONS[2:])}, lights, key="p_partkey", located=F.col("p_size").isNotNull(), tokened=F.col("p_partkey") % 17 != 0, order=["R", "A"]).drop("p_size")
+
+
 def adjacency_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Orders' own parts of even key, else the parts of their suppliers' list."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
@@ -125,9 +157,20 @@ SELECT p_partkey, polygon_id::BIGINT AS polygon_id FROM j GROUP BY ALL HAVING bo
 OR count(*) FILTER ((y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1""",
     "nearest_neighbour": """WITH j AS (SELECT o_orderkey, l_linenumber, sqrt((l_partkey * 7 % 97 - o_orderkey % 97) ** 2 + (l_suppkey * 5 % 89 - o_custkey % 89) ** 2) AS dist FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT o_orderkey, count(*) FILTER (dist <= 20) AS n_near, round(min(dist), 6) AS nearest_distance, arg_min(l_linenumber, (dist, l_linenumber)) AS nearest_id FROM j GROUP BY 1""",
+    "pose_global": """WITH h AS (SELECT *, atan2(2 * qw * qz, 1 - 2 * qz * qz) AS h FROM ego_pose)
+SELECT pose_id, round(x + 1.461 * cos(h), 6) AS cx, round(y + 1.461 * sin(h), 6) AS cy, round(vx * cos(h) - vy * sin(h), 6) AS gx, round(vx * sin(h) + vy * cos(h), 6) AS gy FROM h""",
+    "place_distances": """WITH c AS (SELECT c_custkey, c_nationkey, 40 + c_custkey % 97 / 1000.0::DOUBLE AS lat, -80 + c_custkey % 89 / 1000.0::DOUBLE AS lon FROM customer), f AS (SELECT c_nationkey, arg_min(lat, c_custkey) AS lat0, arg_min(lon, c_custkey) AS lon0 FROM c GROUP BY 1)
+SELECT c_custkey, round(sqrt((lat - lat0) ** 2 + ((lon - lon0) * cos(radians((lat0 + lat) / 2))) ** 2) * 111.2, 6) AS km FROM c JOIN f USING (c_nationkey)""",
+    "user_hour_totals": f"WITH {_A}, h AS (SELECT *, us // {H} * {H} AS hr FROM a), t AS (SELECT user_id, hr + {H} AS hr, round(sum(value), 6) AS total_before FROM h GROUP BY ALL) SELECT event_id, total_before FROM h LEFT JOIN t USING (user_id, hr)",
+    "map_features": f"""WITH e(polygon_id, x1, y1, x2, y2) AS (VALUES {_POLY}), j AS (SELECT p_partkey, polygon_id, p_size::DOUBLE AS px, p_retailprice AS py, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM part, e WHERE p_partkey % 13 <> 0),
+h AS (SELECT p_partkey, polygon_id FROM j GROUP BY ALL HAVING bool_or((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) = 0 AND px BETWEEN least(x1, x2) AND greatest(x1, x2) AND py BETWEEN least(y1, y2) AND greatest(y1, y2)) OR count(*) FILTER ((y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1),
+g AS (SELECT p_partkey, string_agg(polygon_id::VARCHAR, '|' ORDER BY polygon_id) FILTER (polygon_id < 3) AS lane, string_agg(polygon_id::VARCHAR, '|' ORDER BY polygon_id) FILTER (polygon_id = 3) AS conn FROM h GROUP BY 1),
+s AS (SELECT l_partkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'R' WHEN bool_or(l_returnflag = 'A') THEN 'A' ELSE 'unknown' END AS light FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1)
+SELECT p.p_partkey, CASE WHEN ok THEN coalesce(lane, '') END AS lane_ids, CASE WHEN ok THEN coalesce(conn, '') END AS connector_ids, CASE WHEN NOT ok THEN NULL WHEN lane <> '' THEN 'lane' WHEN conn <> '' THEN 'connector' ELSE 'off the map' END AS place,
+CASE WHEN ok AND p.p_partkey % 17 <> 0 THEN light END AS light FROM (SELECT p_partkey, p_partkey % 13 <> 0 AND p_size IS NOT NULL AS ok FROM part) AS p LEFT JOIN g USING (p_partkey) LEFT JOIN s ON l_partkey = p.p_partkey""",
     "closing_speed": "SELECT pose_id, round(atan2(2 * qw * qz + 0.0, 1 - 2 * qz * qz), 6) AS yaw, round(-(x * vx + y * vy) / nullif(sqrt(x * x + y * y), 0), 6) AS closing FROM ego_pose",
     "adjacency_fallback": """WITH m AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey) FILTER (l_partkey % 2 = 0)) AS own, list_sort(list(DISTINCT s_nationkey::BIGINT)) AS far FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
 SELECT l_orderkey, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE far END, '|') AS links FROM m""",
     "priority_state": "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'R' WHEN bool_or(l_returnflag = 'A') THEN 'A' ELSE 'unknown' END AS state FROM lineitem GROUP BY 1",
 }
-QUERIES = {f.__name__: f for f in (asof_first_after, asof_last_before, hourly_asof, rolling_3h, gap_check, modulo_subsample, sun_elevation, series_profile, point_in_polygon, nearest_neighbour, closing_speed, adjacency_fallback, priority_state)}
+QUERIES = {f.__name__: f for f in (asof_first_after, asof_last_before, hourly_asof, rolling_3h, gap_check, modulo_subsample, sun_elevation, series_profile, point_in_polygon, nearest_neighbour, closing_speed, pose_global, place_distances, user_hour_totals, map_features, adjacency_fallback, priority_state)}

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Bytes of the envelope by its code, as the public format defines it.
@@ -49,6 +49,35 @@ def rings(wkb: bytes) -> list[list[tuple[float, float]]]:
     return out
 
 
+def read_layer(spark: SparkSession, path: str, layer: str, columns: list[str], geom: str = "geom") -> DataFrame:
+    """The columns (as text) and the geometry blobs of a layer; one database is one partition, several paths are several."""
+    from .sqlite import SqliteSource
+
+    spark.dataSource.register(SqliteSource)
+    names = ", ".join(f'CAST("{c}" AS TEXT) AS "{c}"' for c in columns)
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.format("sqlitelog").schema(f"{schema}{', ' if columns else ''}`{geom}` binary").option("query", f'SELECT {names}{", " if columns else ""}"{geom}" FROM "{layer}"').option("paths", path).load()
+
+
+def projected_crs(spark: SparkSession, path: str, table: str = "meta", key: str = "projectedCoordSystem") -> str:
+    """The coordinate system that the databases name under a key of their metadata; they must agree."""
+    from .sqlite import SqliteSource
+
+    spark.dataSource.register(SqliteSource)
+    rows = spark.read.format("sqlitelog").schema("value string").option("query", f"""SELECT value FROM "{table}" WHERE key = '{key}'""").option("paths", path).load().distinct().limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path}: {len(rows)} coordinate systems instead of one")
+    return rows[0][0]
+
+
+def load_map(spark: SparkSession, path: str, layers: dict[str, str], adjacency: tuple[str, str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(edges per layer, links) of a map: layers name the key column of each layer; adjacency is (layer, from, to)."""
+    edges = {name: polygon_edges_of(read_layer(spark, path, name, [key]), key, "geom") for name, key in layers.items()}
+    layer, a, b = adjacency
+    links = read_layer(spark, path, layer, [a, b]).select(F.col(a).cast("long").alias("via"), F.col(b).cast("long").alias("link")).where("via is not null and link is not null").distinct()
+    return edges, links
+
+
 def polygon_edges_of(layer: DataFrame, key: str, geom: str) -> DataFrame:
     """(polygon_id, x1, y1, x2, y2) of all rings; null and broken geometries give no edge."""
 

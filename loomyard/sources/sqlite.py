@@ -56,16 +56,24 @@ def list_databases(paths: str, suffix: str = ".db") -> tuple[list[Database], lis
     return found, repeated
 
 
+def unpack(db: Database, path: str) -> None:
+    """A member to a file, its CRC and size checked on the way; the file appears whole or not at all."""
+    part = path + ".part"
+    with zipfile.ZipFile(db.path) as z, z.open(db.member) as src, open(part, "wb") as out:
+        while block := src.read(16 << 20):
+            out.write(block)
+    if (size := os.path.getsize(part)) != db.size:
+        os.remove(part)
+        raise OSError(f"{db.member}: {size} bytes instead of {db.size}")
+    os.replace(part, path)
+
+
 def open_database(db: Database, scratch: str) -> sqlite3.Connection:
     """Read-only; a member is unpacked to `scratch`, its CRC and size checked on the way."""
     path = db.path
     if db.member:
         path = os.path.join(scratch, "member.db")
-        with zipfile.ZipFile(db.path) as z, z.open(db.member) as src, open(path, "wb") as out:
-            while block := src.read(16 << 20):
-                out.write(block)
-        if os.path.getsize(path) != db.size:
-            raise OSError(f"{db.member}: {os.path.getsize(path)} bytes instead of {db.size}")
+        unpack(db, path)
     return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 

@@ -177,3 +177,57 @@ def test_permutation_test_equals_brute_force(spark):
     hits = sum(within(np.random.default_rng([5, k]).permutation(v)) <= within(v) + 1e-12 for k in range(300))
     assert (r.n, r.observed, r.p) == (7, pytest.approx(within(v)), pytest.approx((1 + hits) / 301))
     assert V.permutation_test(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
+
+
+def test_map_layers_and_their_coordinate_system(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    from loomyard.operators.spatial import map_features, points_in_polygons
+    from loomyard.sources.geometry import load_map, projected_crs
+
+    def blob(ring):
+        wkb = struct.pack("<BIII", 1, 3, 1, len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring)
+        return b"GP\0\x01" + struct.pack("<i", 0) + wkb
+
+    for name, crs in (("a.gpkg", "EPSG:32617"), ("b.gpkg", "EPSG:32617")):
+        con = sqlite3.connect(tmp_path / name)
+        con.execute("CREATE TABLE meta (key TEXT, value TEXT)")
+        con.execute("INSERT INTO meta VALUES ('projectedCoordSystem', ?)", (crs,))
+        con.execute("CREATE TABLE lanes (fid INTEGER, geom BLOB)")
+        con.execute("CREATE TABLE connectors (fid INTEGER, exit INTEGER, geom BLOB)")
+        if name == "a.gpkg":
+            con.execute("INSERT INTO lanes VALUES (1, ?)", (blob([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]),))
+            con.execute("INSERT INTO connectors VALUES (7, 1, ?)", (blob([(10, 0), (14, 0), (14, 4), (10, 0)]),))
+        con.commit()
+        con.close()
+    path = str(tmp_path / "*.gpkg")
+    assert projected_crs(spark, path) == "EPSG:32617"
+    edges, links = load_map(spark, path, {"lanes": "fid", "connectors": "fid"}, ("connectors", "exit", "fid"))
+    assert [tuple(r) for r in links.collect()] == [(1, 7)] and edges["lanes"].count() == 4
+    pts = spark.createDataFrame([(1, 2.0, 4.0, "t"), (2, 13.5, 1.0, None), (3, 50.0, 50.0, "t"), (4, None, 1.0, "t")], "id int, x double, y double, token string")
+    hits = {n: points_in_polygons(pts, e, key="id", x="x", y="y", cell=3.0) for n, e in edges.items()}
+    lights = spark.createDataFrame([(1, "green"), (1, "red"), (2, "red"), (3, "odd"), (4, "red")], "id int, state string")
+    got = {r.id: (r.lanes_ids, r.connectors_ids, r.place, r.light) for r in map_features(pts, hits, lights, key="id", located=F.col("x").isNotNull(), tokened=F.col("token").isNotNull(), order=["red", "green"]).collect()}
+    assert got == {1: ("1", "", "lanes", "red"), 2: ("", "7", "connectors", None), 3: ("", "", "off the map", "unknown"), 4: (None, None, None, None)}
+    con = sqlite3.connect(tmp_path / "c.gpkg")
+    con.execute("CREATE TABLE meta (key TEXT, value TEXT)")
+    con.execute("INSERT INTO meta VALUES ('projectedCoordSystem', 'EPSG:1')")
+    con.commit()
+    con.close()
+    with pytest.raises(ValueError, match="2 coordinate systems"):
+        projected_crs(spark, path)
+
+
+def test_layouts_keep_null_groups_and_every_row(spark):
+    from loomyard.operators import ranking as R
+    from loomyard.operators import temporal as T
+
+    rows = [(g, i, i * i % 11) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i int, v int")
+    want = {(g, i): (i + 1, (i - 1) ** 2 % 11 if i else None, max((j * j % 11 for j in range(i)), default=None)) for g, i, _ in rows}
+    out = R.greatest_before(R.previous(R.positions(df, ["g"], [F.col("i")], name="p"), ["g"], ["i"], "v", "before"), ["g"], ["i"], "v", "top")
+    assert {(r.g, r.i): (r.p, r.before, r.top) for r in out.collect()} == want
+    sums = {r.i: r.s for r in T.rolling_sum(df.where("g = 'a'"), [], "i", "v", 3, "s").collect()}
+    assert sums == {i: None if i < 2 else sum(j * j % 11 for j in (i - 2, i - 1, i)) for i in range(40)}
+    assert R.positions(df.limit(0), [], [F.col("i")]).count() == 0
