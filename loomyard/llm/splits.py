@@ -8,7 +8,7 @@ size band and dealt systematically to the splits.
 Scale: edges are distinct and kept as least edge per pair of components; the least edge per component is a min_by
 aggregate with map-side combine, so a hub with a third of all edges is no hot spot; joins on component labels have one
 row per label on one side and are split by AQE on the other. All lineage is cut by reliable checkpoints. Labels are
-composed from the last, smallest round backwards, so only one join is as large as the set of nodes. Components are never
+composed from the last, smallest round backwards, so only one join is as large as the set of nodes. The table is read once. Components are never
 collected; only sums per size band and hash slot reach the driver, at most 64 * SLOTS figures at any size.
 """
 
@@ -41,10 +41,10 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame | None = None) -> Forest:
     is one of its nodes.
     """
     ends = edges.where("a is not null and b is not null").select("a", "b")
-    all_nodes = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node")))
+    lone = ends.where("a = b").select(F.col("a").alias("node"))
     if nodes is not None:
-        all_nodes = all_nodes.unionByName(nodes.where("node is not null").select("node"))
-    all_nodes = all_nodes.distinct()
+        lone = lone.unionByName(nodes.where("node is not null").select("node"))
+    lone = lone.distinct()
     e = ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # (u, v): components of the ends; w: total order.
     e = cut(e.select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b").alias("w")))
@@ -68,13 +68,14 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame | None = None) -> Forest:
     for c in chosen[1:]:
         forest = forest.unionByName(c)
     if not labels:
-        return Forest(all_nodes.withColumn("root", F.col("node")), forest)
+        return Forest(lone.withColumn("root", F.col("node")), forest)
     root = labels.pop()
     for label in reversed(labels):
         later = root.select(F.col("u").alias("x"), F.col("p").alias("q"))
         root = label.join(later, F.col("p") == F.col("x"), "left").select("u", F.coalesce("q", "p").alias("p"))
-    members = all_nodes.join(root, F.col("node") == F.col("u"), "left").select("node", F.coalesce("p", "node").alias("root"))
-    return Forest(cut(members), forest)
+    members = cut(root.select(F.col("u").alias("node"), F.col("p").alias("root")))  # every node with an edge
+    alone = lone.join(members.select("node"), "node", "left_anti").withColumn("root", F.col("node"))
+    return Forest(members.unionByName(alone), forest)
 
 
 def _to_roots(parent: DataFrame) -> DataFrame:
@@ -91,10 +92,11 @@ def _to_roots(parent: DataFrame) -> DataFrame:
 
 
 def shared_key_edges(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) that join rows with a common value in any of `keys`; values are normalised, nulls join nothing."""
+    """(edges, lone nodes) that join rows with a common value in any of `keys`; values are normalised, nulls join nothing. The
+    nodes that stand alone in a row are given besides the edges; they may have edges from other rows."""
     node = [F.when(norm_key(f"`{k}`").isNotNull(), F.concat(F.lit(f"{k}|"), norm_key(f"`{k}`"))) for k in keys]
-    present = rows.select(F.array_compact(F.array(*node)).alias("n")).distinct()
-    nodes = present.select(F.explode("n").alias("node"))
+    present = cut(rows.select(F.array_compact(F.array(*node)).alias("n")).distinct())
+    nodes = present.where(F.size("n") == 1).select(F.get("n", F.lit(0)).alias("node"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("n") - 1, F.lit(1))), lambda i: F.struct(F.get("n", i - 1).alias("a"), F.get("n", i).alias("b")))
     return present.select(F.explode(pairs).alias("x")).select("x.a", "x.b").where("b is not null"), nodes
 
