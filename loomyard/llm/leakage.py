@@ -48,7 +48,7 @@ LEAST_COVER = 0.62
 LOOSE_COVER = 0.45
 #: Where the words of both texts agree, place by place, on at least this share of the span, the matched words on either side
 #: of a long insertion may be as few as SURE_SIDE, and the words beyond the shingles count.
-SURE_COVER = 0.8
+SURE_COVER = 0.85
 SURE_SIDE = 8
 #: A chain that loses more words than this at an insertion, or has a long one, must reach min_cover,
 #: and have this share of its shingles outside stock.
@@ -166,6 +166,12 @@ def _beyond(doc: np.ndarray, item: np.ndarray, a: int, b: int, step: int) -> tup
 
 
 def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None = None, doc: np.ndarray | None = None, item: np.ndarray | None = None) -> tuple[int, int] | None:
+    """The best chain without long insertions or, if none counts, with them; see _chain."""
+    hit = _chain(p, q, min_words, min_cover, rare, doc, item, False)
+    return hit or _chain(p, q, min_words, min_cover, rare, doc, item, True)
+
+
+def _chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None, doc: np.ndarray | None, item: np.ndarray | None, wide: bool) -> tuple[int, int] | None:
     """(words spanned in the item, words matched) of the best chain that counts, or None.
 
     A run may be followed by one after damage (both texts go on by about as many words) or after an insertion (the item
@@ -190,7 +196,8 @@ def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, r
         end_a, end_b, first, got, every, sure, side, least, dense = a + own, b + own, b, own, n, r, own, None, False
         while oldest < len(done) and done[oldest][4] < a - MAX_INSERTED:
             # By its last word in the item, the best chain that ended so far back.
-            if (old := done[oldest])[7] >= SURE_SIDE and (old[1] not in far or far[old[1]][3] < old[3]):
+            old = done[oldest]
+            if wide and old[7] >= SURE_SIDE and (old[1] not in far or far[old[1]][3] < old[3]):
                 far[old[1]] = old
             oldest += 1
         for ea, eb, f, m, _, e, k, d, w, t, x, y in done[oldest:]:
