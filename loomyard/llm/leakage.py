@@ -168,7 +168,9 @@ def _beyond(doc: np.ndarray, item: np.ndarray, a: int, b: int, step: int) -> tup
 def best_chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None = None, doc: np.ndarray | None = None, item: np.ndarray | None = None) -> tuple[int, int] | None:
     """The best chain without long insertions or, if none counts, with them; see _chain."""
     hit = _chain(p, q, min_words, min_cover, rare, doc, item, False)
-    return hit or _chain(p, q, min_words, min_cover, rare, doc, item, True)
+    if hit or not len(p) or int(p.max() - p.min()) <= MAX_INSERTED:
+        return hit
+    return _chain(p, q, min_words, min_cover, rare, doc, item, True)
 
 
 def _chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare: np.ndarray | None, doc: np.ndarray | None, item: np.ndarray | None, wide: bool) -> tuple[int, int] | None:
@@ -192,7 +194,7 @@ def _chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare:
     for a, b, n, r in sorted(zip(p[new].tolist(), q[new].tolist(), size.tolist(), known.tolist())):
         # The chain that ends in this run: its first word in the item, the words matched, its shingles and those that are no stock.
         own = n + K - 1
-        left, more = _beyond(doc, item, a - 1, b - 1, -1)
+        begin, more = a, 0
         end_a, end_b, first, got, every, sure, side, least, dense = a + own, b + own, b, own, n, r, own, None, False
         while oldest < len(done) and done[oldest][4] < a - MAX_INSERTED:
             # By its last word in the item, the best chain that ended so far back.
@@ -208,24 +210,27 @@ def _chain(p: np.ndarray, q: np.ndarray, min_words: int, min_cover: float, rare:
                 between = int((doc[ea:a] == item[eb:b]).sum()) if 0 < gap_a == gap_b and len(doc) else 0
                 c = m + min(own, end_b - eb)
                 if c > got:
-                    first, got, every, sure, side, least, left, more = f, c, e + n, k + r, d + c - m, w, x, y + between
+                    first, got, every, sure, side, least, begin, more = f, c, e + n, k + r, d + c - m, w, x, y + between
                     dense = t or not damaged and gap_b > MAX_LOST
         for eb in range(b - MAX_DAMAGE, b + K) if far else ():
             if eb in far and end_b > eb and (c := far[eb][3] + min(own, end_b - eb)) > got:
                 old = far[eb]
-                first, got, every, sure, side, left, more = old[2], c, old[5] + n, old[6] + r, c - old[3], old[10], old[11]
+                first, got, every, sure, side, begin, more = old[2], c, old[5] + n, old[6] + r, c - old[3], old[10], old[11]
                 least = old[7] if old[8] is None else min(old[7], old[8])  # matched before the long insertion
                 dense = True
         reach = max(reach, end_a)
-        done.append((end_a, end_b, first, got, reach, every, sure, side, least, dense, left, more))
+        done.append((end_a, end_b, first, got, reach, every, sure, side, least, dense, begin, more))
         if sure < (RARE_WIDE if dense else RARE_SHARE) * every:
             continue
         sides, span = MIN_SIDE if least is None else min(side, least), end_b - first
         if sides >= MIN_SIDE and span >= min_words and got >= max(min_words, (min_cover if dense else LOOSE_COVER) * span) and (best is None or got > best[1]):
             best = (span, got)
-        right, agree = _beyond(doc, item, end_a, end_b, 1)
-        span, got = span + left + right, got + more + agree
-        if sides >= SURE_SIDE and span >= min_words and got >= SURE_COVER * span and (best is None or got > best[1]):
+        if sides < SURE_SIDE or span + 4 * K < min_words:  # too little for what may stand beyond
+            continue
+        left, before = _beyond(doc, item, begin - 1, first - 1, -1)
+        right, after = _beyond(doc, item, end_a, end_b, 1)
+        span, got = span + left + right, got + more + before + after
+        if span >= min_words and got >= SURE_COVER * span and (best is None or got > best[1]):
             best = (span, got)
     return best
 
