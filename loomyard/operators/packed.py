@@ -2,12 +2,14 @@
 
 Method: the Arrow buffer of the column is scanned with byte masks; quote parity by cumulative sums tells what lies
 inside quotes, a delimiter mask gives the edges of the values, child offsets follow from the edges, a list array is
-built on them and flattened with the parents' ordinals. No row is touched by a Python loop, but for fields that mix both
-kinds of quotes: those advance in lockstep, one quoted stretch per step, all rows at once.
+built on them and flattened with the parents' ordinals. No row is touched by a Python loop, but for fields with separators
+beyond ASCII, which are blanked by a regular expression each. Fields that mix both kinds of quotes advance in lockstep, one
+quoted stretch per step, all rows at once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SINGLE, DOUBLE = 39, 34
+#: A character beyond ASCII that is neither letter nor digit.
+WIDE = re.compile(r"[^\x00-\x7f\w]")
 
 
 def _word_bytes(data: np.ndarray) -> np.ndarray:
@@ -45,8 +49,10 @@ def split_packed(arr: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     arr = arr.drop_null()
     blank = _ascii_separators(arr)
     if not pc.all(pc.equal(pc.binary_length(blank), pc.binary_length(arr))).as_py():
-        # Wide separators change the length: give each as many blanks as it has bytes.
-        blank = pa.array(["".join(c if ord(c) < 128 or c.isalnum() else " " * len(c.encode()) for c in x) for x in arr.to_pylist()], pa.large_string())
+        # Wide separators change the length of their field: there, each becomes as many blanks as it has bytes.
+        off = pc.not_equal(pc.binary_length(blank), pc.binary_length(arr))
+        kept = [WIDE.sub(lambda m: " " * len(m.group().encode()), x) for x in arr.filter(off).to_pylist()]
+        blank = pc.replace_with_mask(blank, off, pa.array(kept, pa.large_string()))
     n = len(arr)
     offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + n + 1]
     data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
