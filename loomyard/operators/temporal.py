@@ -50,6 +50,7 @@ def unzip_series(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame
 
 def sun_elevation(us: Column, lat: Column, lon: Column) -> Column:
     """Solar elevation in degrees by the published NOAA low-precision equations, as a column expression."""
+    # The coefficients of the NOAA solar calculator, after Meeus, Astronomical Algorithms, chapters 22, 25 and 28.
     day = us / F.lit(86_400_000_000.0)
     t = (day - 10957.5) / 36525.0  # Julian centuries since 2000-01-01 12:00
     rad = F.radians

@@ -97,6 +97,7 @@ def polygon_edges_of(layer: DataFrame, key: str, geom: str) -> DataFrame:
 
 def utm(lon, lat, zone: int):
     """(easting, northing) columns of a longitude and latitude in degrees, northern hemisphere, by the Krueger series."""
+    # The WGS 84 ellipsoid, and the scale and false easting of the projection.
     a, f = 6378137.0, 1 / 298.257223563
     n = f / (2 - f)
     big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)

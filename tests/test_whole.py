@@ -101,3 +101,26 @@ def test_signed_rank_equals_plain_sums(spark):
     var = n * (n + 1) * (2 * n + 1) / 24 - sum(a.count(v) ** 3 - a.count(v) for v in set(a)) / 48
     z = (plus - n * (n + 1) / 4) / math.sqrt(var)
     assert (r.n, r.w_plus) == (n, plus) and r.z == pytest.approx(z) and r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=1e-6)
+
+
+def test_checkpoints_carry_their_true_size_through_many_joins(spark):
+    """The estimate of a loop of self-joins squares with every round unless a cut replaces it: planning would stall."""
+    from loomyard.session import cut
+
+    df = spark.range(50).selectExpr("id AS u", "id % 7 AS p")
+    for _ in range(8):
+        top = df.selectExpr("u AS x", "p AS y")
+        df = cut(df.join(top, df.p == top.x).selectExpr("u", "y AS p"))
+    assert df.count() == 50
+    assert len(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 7
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from loomyard import session
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="shared"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))
