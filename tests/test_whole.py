@@ -122,5 +122,5 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     unset = SimpleNamespace(isDefined=lambda: False)
     sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
-    with pytest.raises(RuntimeError, match="shared"):
+    with pytest.raises(RuntimeError, match="executors share"):
         session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d=None: d)))
