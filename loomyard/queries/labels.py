@@ -12,7 +12,7 @@ from ..operators import sampling as S
 from ..quality import policy
 from ..quality.contract import Contract, Field
 from ..sources.tables import micros, table
-from .describe import _CAT, _CITY, _OUT, COMPONENTS, latest_outcomes
+from .describe import _CAT, _CITY, _OUT, latest_outcomes
 from .problems import _WS
 
 PLANNERS = ("rulebook", "gap_keeper", "rail_spline", "branch_search")
