@@ -131,6 +131,9 @@ def passages(texts: list[str | None]) -> Passages:
     number = (kind == NUMBER) | np.isin(sign, [ord(c) for c in "()[]."])
     for _ in range(4):
         s_begin = np.where(number[s_begin] & (s_begin + 1 < s_end), s_begin + 1, s_begin)
+    # What consists of such signs only is no sentence.
+    said = np.append(0, np.cumsum(~number))
+    says = said[s_end] > said[s_begin]
     # Slots.
     long_sign = ends[keep] - start[keep] >= 2
     odd = (kind == OTHER) & ((~np.isin(sign, [ord(c) for c in PROSE_SIGNS]) & ~np.isin(sign, [ord(c) for c in CLOSING])) | ((sign == ord("&")) & long_sign))
@@ -149,6 +152,7 @@ def passages(texts: list[str | None]) -> Passages:
     q = np.isin(sign, [ord(c) for c in QUOTES])
     near = np.append(False, q[:-1])[at] & np.append(q[1:], False)[at]
     trusted = _trusted_signs(sign, start[keep], ends[keep], at, odd) | (literal[at] & ~near)
+    s_begin, s_end = s_begin[says], s_end[says]
     words = np.bincount(doc, weights=kind == LETTER, minlength=len(texts)).astype(np.int64)
     zero = np.zeros(len(s_begin), bool)
     b, e = np.concatenate([s_begin, l_begin]), np.concatenate([s_end, l_end])
@@ -220,17 +224,20 @@ class Model:
         return total + np.where(p.slot, self.prior[1], self.prior[0])
 
 
-def learn(texts: list[str | None], whole: list[bool] | None = None, *, rounds: int = 4, short_words: int = 60, pull: float = 0.01, most: float = 0.02, common: float = 0.01) -> Model:
+def learn(texts: list[str | None], whole: list[bool] | None = None, extra: list[bool] | None = None, *, rounds: int = 4, short_words: int = 60, pull: float = 0.01, most: float = 0.02, common: float = 0.01) -> Model:
     """Expectation-maximization from trusted records; `pull` is the background's weight in the positive class, `most` the
     greatest prior share of residue among the passages. A feature that stands in more than the share `common` of the long
     records may be a heading of sound ones, which short records carry too. It speaks for residue if a wording of the list or a
     trusted slot has it, or if whole short records consist of such features and hold it more often than long ones do: what
     stands in a record regardless of its length makes up no greater share of the short ones. `whole` tells which texts are
-    whole records (all, if not given): a part of a longer one is never a short record.
+    whole records (all, if not given): a part of a longer one is never a short record. `extra` tells which were sampled for
+    their few characters: only the short ones by words among them count, as trusted records. They tell nothing of how often
+    a feature stands in long records: on large tables they would be a third of those and make the commonest fillers common.
     """
     seeds = [*TRUSTED_TEXTS, *TRUSTED_SLOTS * SLOT_WEIGHT]
     n = 1 << BITS
     whole_of = np.ones(len(texts), bool) if whole is None else np.asarray(whole, bool)
+    extra_of = np.zeros(len(texts), bool) if extra is None else np.asarray(extra, bool)
     at = 0
     parts, df, n_long, n_short, n_passages, n_docs = [], np.zeros(n, np.int64), 0, 0, 0, 0
     for i, chunk in enumerate([seeds, *_chunks(texts)]):  # a slice at a time: only the features are kept
@@ -238,17 +245,21 @@ def learn(texts: list[str | None], whole: list[bool] | None = None, *, rounds: i
         f, which = features(p)
         given = np.full(len(p.begin), i == 0)
         is_short = (p.words > 0) & (p.words < short_words)
+        is_long = p.words >= short_words
         if i:
             is_short &= whole_of[at : at + len(chunk)]
+            left_out = extra_of[at : at + len(chunk)] & ~is_short
+            is_long &= ~left_out
             at += len(chunk)
         short = is_short[p.doc] & ~given & ~p.slot
         is_slot_seed = (p.doc >= len(TRUSTED_TEXTS)) & given
         positive = (given & (p.slot == is_slot_seed)) | short | (p.trusted & ~given)
         take = (~given | positive) & ~p.quoted
         if i:
-            of_long = (p.words >= short_words)[p.doc[which]]
+            take &= ~left_out[p.doc]
+            of_long = is_long[p.doc[which]]
             df += np.bincount(np.unique(p.doc[which[of_long]] * n + f[of_long]) % n, minlength=n)
-            n_long += int((p.words >= short_words).sum())
+            n_long += int(is_long.sum())
             n_short += int(is_short.sum())
         usable = take[which]
         parts.append((f[usable].astype(np.int32), (which[usable] + n_passages).astype(np.int32), p.slot, given, positive, take, short, p.doc + n_docs))
@@ -344,8 +355,8 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_d
     if n and not some and not rows.isEmpty():
         raise RuntimeError("the sample for the fit is empty")
     few = rows.where("short and not near").orderBy("h", "text").limit(sample_short).collect()
-    texts = sorted((r["part"], r["whole"]) for r in some) + [(r["text"], True) for r in few]
-    return learn([t for t, _ in texts], [w for _, w in texts])
+    texts = [(*x, False) for x in sorted((r["part"], r["whole"]) for r in some)] + [(r["text"], True, True) for r in few]
+    return learn(*(list(x) for x in zip(*texts))) if texts else learn([])
 
 
 def residue(docs: DataFrame, model: Model | None = None, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.0) -> DataFrame:

@@ -58,3 +58,22 @@ def test_the_fit_takes_long_records_in_parts_and_short_ones_besides(spark):
     model = residue.fit(d, sample_docs=3, sample_short=4, short_chars=200, part_chars=5_000)
     assert {r.doc_id for r in residue.residue(d, model).collect()} == {100, 101, 102, 103}
     assert residue.residue(d.limit(0)).count() == 0
+
+
+def test_short_records_of_many_words_make_no_filler_common(spark):
+    """Unlisted fillers in stubs of few characters, half of them of 60 words and more. The stubs are sampled besides, as on a
+    large table; were they counted as long records, their wordings would be common ones and lost in decisions."""
+    rng = random.Random(4)
+    fillers = [" ".join(prose(8, 300 + k)) + "." for k in range(60)]
+    decision = lambda k: ". ".join(" ".join(prose(14, 20_000 + 20 * k + j)) for j in range(20)) + "."
+    rows = [(k, decision(k) + (f"\n\n{fillers[k // 15]}\n\n" + decision(900 + k) if k % 15 == 0 else "")) for k in range(900)]
+    rows += [(1000 + k, "\n\n".join(rng.choices(fillers, k=5 if k % 2 else 9))) for k in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id for r in residue.residue(d, residue.fit(d, sample_docs=200)).collect()}
+    assert found <= {*range(0, 900, 15), *range(1000, 1100)}
+    assert len(found & {*range(0, 900, 15)}) >= 20  # 7 where they counted as long
+
+
+def test_a_passage_of_bracketed_numbers_says_nothing():
+    p = residue.passages(["[12]\n\nThe appeal is dismissed.\n\n(3) [4]\n\n[●]"])
+    assert [int(n) for n in (p.end - p.begin)[~p.slot]] == [5, 2]
