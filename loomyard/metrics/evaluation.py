@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import hash_hex
 from ..operators.ranking import positions
+from ..session import cut
 from . import uplift as U
 
 
@@ -75,12 +76,14 @@ def permutation_test(df: DataFrame, group: str, value: str, *, draws: int = 5_00
     """(n, observed, p): the population variance within groups, averaged over groups, against that under random group
     labels; p is (1 + draws at or below) / (1 + draws).
 
-    The draws are spread over tasks, each of which holds the values: at most most_rows of them (checked; a test over more
-    has no use for draws). Draw k takes numpy's generator of (seed, k), so any spread gives the same p. Nulls take no part.
+    Up to most_rows the draws are spread over tasks, each of which holds the values. Draw k takes numpy's generator of
+    (seed, k), so any spread gives the same p. Beyond, the values are spread instead, see _drawn_in_chunks. Nulls take no part.
     """
-    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v")).orderBy("g", "v").limit(most_rows + 1).collect()
-    if len(rows) > most_rows:
-        raise ValueError("too many rows for a permutation test")
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
+    n = rows.count()
+    if n > most_rows:
+        return _drawn_in_chunks(rows, n, draws, seed)
+    rows = rows.orderBy("g", "v").collect()
     spark = df.sparkSession
     out = "n long, observed double, p double"
     if not rows:
@@ -103,6 +106,95 @@ def permutation_test(df: DataFrame, group: str, value: str, *, draws: int = 5_00
     return hits.select(F.lit(len(x)).cast("long").alias("n"), F.lit(observed).alias("observed"), ((1 + F.col("hits")) / (1 + draws)).alias("p"))
 
 
+def _drawn_in_chunks(rows: DataFrame, n: int, draws: int, seed: int, chunk_work: int = 50_000) -> DataFrame:
+    """The permutation test with the values spread over tasks. Equal values become one with its number. The values are dealt
+    into chunks by hash; per draw a tree of hypergeometric draws tells how many rows of each group a chunk has, and within the
+    chunk the values of many rows are shared out by hypergeometric draws, all others permuted. That is a uniform permutation.
+    A generator belongs to (seed, node of the tree or chunk, slice of draws), so any spread gives the same draws.
+    """
+    spark = rows.sparkSession
+    first = rows.groupBy("g").agg(F.count("*").alias("n"), F.sum("v").alias("s")).orderBy("g").collect()
+    size = np.array([r.n for r in first], np.int64)
+    k, mean = len(size), sum(r.s for r in first) / n
+    x = F.col("v") - F.lit(mean)
+    per = rows.groupBy("g").agg((F.sum(x * x) / F.count("*") - F.pow(F.avg(x), 2)).alias("w"))
+    observed = per.agg(F.avg("w")).first()[0]
+    many = 16 * k  # rows of a value from which sharing out is cheaper than permuting
+    values = cut(rows.groupBy("v").agg(F.count("*").alias("c")))
+    work = values.agg(F.sum(F.least("c", F.lit(many)))).first()[0]
+    chunks = int(min(1 << 16, -(-work // chunk_work)))
+    values = values.select(F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int").alias("chunk"), (F.col("v") - F.lit(mean)).alias("x"), "c")
+    held = np.zeros(chunks, np.int64)
+    for r in values.groupBy("chunk").agg(F.sum("c").alias("n")).collect():
+        held[r.chunk] = r.n
+    upto = np.append(0, np.cumsum(held))
+    slice_of = max(1, min(draws, 2_000_000 // k))
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        order = np.argsort(table.column("x").to_numpy())
+        x, c = table.column("x").to_numpy()[order], table.column("c").to_numpy()[order]
+        light = np.repeat(x[c < many], c[c < many])
+        out = []
+        for lo in range(0, draws, slice_of):
+            rows_of = _rows_in_chunk(size, upto, chunk, min(slice_of, draws - lo), seed, lo)
+            rng = np.random.default_rng([seed, 1, chunk, lo])
+            total, squares = np.zeros(rows_of.shape), np.zeros(len(rows_of))
+            for v, m in zip(x[c >= many], c[c >= many]):
+                part = _shared_out(rng, rows_of, int(m))
+                rows_of = rows_of - part
+                total += part * v
+                squares += (part / size).sum(axis=1) * v * v
+            ends = np.concatenate([np.zeros((len(rows_of), 1), np.int64), np.cumsum(rows_of, axis=1)], axis=1)
+            for d in range(len(rows_of) if len(light) else 0):
+                rng.shuffle(light)
+                total[d] += np.diff(np.append(0.0, np.cumsum(light))[ends[d]])
+                squares[d] += (np.diff(np.append(0.0, np.cumsum(light * light))[ends[d]]) / size).sum()
+            draw = np.repeat(np.arange(lo, lo + len(rows_of)), k)
+            q = np.zeros(total.shape)
+            q[:, 0] = squares
+            out.append(pa.table({"draw": draw, "g": np.tile(np.arange(k), len(rows_of)), "s": total.ravel(), "q": q.ravel()}))
+        return pa.concat_tables(out)
+
+    values = values.repartition(min(chunks, 1_000), "chunk")  # few bytes, much work: not to be coalesced
+    sums = values.groupBy("chunk").applyInArrow(run, "draw long, g long, s double, q double").groupBy("draw", "g").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    rows_in = spark.createDataFrame([(i, int(m)) for i, m in enumerate(size)], "g long, m long")
+    each = sums.join(rows_in, "g").groupBy("draw").agg(((F.sum("q") - F.sum(F.pow(F.col("s") / F.col("m"), 2))) / k).alias("w"))
+    hits = each.agg(F.count_if((F.col("w") <= observed + 1e-12) & ~F.isnan("w")).alias("hits"))
+    return hits.select(F.lit(n).cast("long").alias("n"), F.lit(observed).alias("observed"), ((1 + F.col("hits")) / (1 + draws)).alias("p"))
+
+
+def _rows_in_chunk(size: np.ndarray, upto: np.ndarray, chunk: int, draws: int, seed: int, first: int) -> np.ndarray:
+    """(draws, groups): rows of each group that fall into the chunk, down the tree of halves of the chunks."""
+    lo, hi = 0, len(upto) - 1
+    have = np.tile(size, (draws, 1))
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _shared_out(np.random.default_rng([seed, 0, lo, hi, first]), have, int(upto[mid] - upto[lo]))
+        lo, hi, have = (lo, mid, left) if chunk < mid else (mid, hi, have - left)
+    return have
+
+
+def _shared_out(rng: np.random.Generator, have: np.ndarray, need: int, exact: int = 10**9) -> np.ndarray:
+    """Per row of `have` the groups' parts of a draw of `need` without replacement. Numpy draws no more than 10**9 of a kind;
+    beyond that the normal distribution of the same mean and variance, rounded."""
+    out = np.zeros_like(have)
+    left, rest = np.full(len(have), need, np.int64), have.sum(axis=1)
+    for i in range(have.shape[1] - 1):
+        good = have[:, i]
+        bad = rest - good
+        if rest.max(initial=0) < exact:
+            part = rng.hypergeometric(good, bad, left)
+        else:
+            p = good / np.maximum(rest, 1)
+            spread = np.sqrt(left * p * (1 - p) * np.maximum(rest - left, 0) / np.maximum(rest - 1, 1))
+            part = np.clip(np.rint(rng.normal(left * p, spread)).astype(np.int64), np.maximum(left - bad, 0), np.minimum(good, left))
+        out[:, i] = part
+        left, rest = left - part, bad
+    out[:, -1] = left
+    return out
+
+
 def importance(test: DataFrame, features: Sequence[str], predict, *, y: str, row: str, repeats: int = 10, salt: str = "importance") -> DataFrame:
     """(feature, importance): how much the negative RMSE falls when a feature's values are permuted, the mean over repeats.
 

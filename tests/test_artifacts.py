@@ -179,6 +179,27 @@ def test_permutation_test_equals_brute_force(spark):
     assert V.permutation_test(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
 
 
+def test_permutation_test_beyond_the_rows_that_a_task_holds(spark):
+    import numpy as np
+
+    from loomyard.metrics import evaluation as V
+
+    rng = np.random.default_rng(2)
+    g = np.repeat(list("abc"), [300, 500, 400])
+    for shift in (0.0, 0.06, 0.5):
+        x = np.where(rng.random(1200) < 0.3, 0.0, np.round(rng.random(1200), 3)) + shift * (g == "b")
+        df = spark.createDataFrame(list(zip(g.tolist(), x.tolist())), "g string, v double")
+        whole, spread = (V.permutation_test(df, "g", "v", draws=2_000, most_rows=m).first() for m in (2_000, 100))
+        assert spread.n == 1200 and spread.observed == pytest.approx(whole.observed) and spread.p == pytest.approx(whole.p, abs=0.06)
+    # Many chunks deal out every row once, and a group of the chunk has its share.
+    size, upto = np.array([300, 500, 400]), np.array([0, 100, 350, 360, 900, 1200])
+    parts = [V._rows_in_chunk(size, upto, c, 4_000, 7, 0) for c in range(5)]
+    assert (sum(parts) == size).all() and all((p.sum(axis=1) == b - a).all() for p, a, b in zip(parts, upto, upto[1:]))
+    assert parts[3].mean(axis=0) == pytest.approx(size * 540 / 1200, rel=0.02)
+    near = V._shared_out(np.random.default_rng(1), np.tile(size, (4_000, 1)), 540, exact=1)
+    assert near.mean(axis=0) == pytest.approx(size * 0.45, rel=0.02) and near.std(axis=0) == pytest.approx(parts[3].std(axis=0), rel=0.1)
+
+
 def test_map_layers_and_their_coordinate_system(spark, tmp_path):
     import sqlite3
     import struct
